@@ -10,95 +10,66 @@ from pyspark.sql import functions as F
 from tremorlake import constants as K
 from tremorlake.functions.geo import haversine_km, in_box
 from tremorlake.operators.grid import cells, grid_cells
-from tremorlake.session import dimension, inline
+from tremorlake.session import dimension, inline, struct_array
 
 
-def _province_array() -> Column:
-    return F.array(*[
-        F.struct(
-            F.lit(n).alias("name"), F.lit(m).alias("macro"), F.lit(order).alias("ord"),
-            F.lit(a).alias("lat_min"), F.lit(b).alias("lat_max"),
-            F.lit(c).alias("lon_min"), F.lit(d).alias("lon_max"),
-        )
-        for order, (n, m, a, b, c, d) in enumerate(K.PROVINCES)
-    ])
+def province_boxes(spark: SparkSession) -> DataFrame:
+    rows = [(o, *p) for o, p in enumerate(K.PROVINCES)]
+    return inline(spark, rows, "ord, province, macro, lat_min, lat_max, lon_min, lon_max")
 
 
-def _anchor_array() -> Column:
-    return F.array(*[
-        F.struct(F.lit(p).alias("province"), F.lit(n).alias("name"), F.lit(order).alias("ord"),
-                 F.lit(la).alias("lat"), F.lit(lo).alias("lon"))
-        for order, (p, n, la, lo) in enumerate(K.ANCHORS)
-    ])
+def anchor_cities(spark: SparkSession) -> DataFrame:
+    rows = [(o, *a) for o, a in enumerate(K.ANCHORS)]
+    return inline(spark, rows, "city_ord, owner, city, c_lat, c_lon")
 
 
-def _closest(options: Column, measure) -> Column:
-    """The option with the least (measure, declared order)."""
-    return F.array_min(F.transform(options, lambda o: F.struct(
-        measure(o).alias("d"), o["ord"].alias("o"), o.alias("v"))))["v"]
+def _province_choices() -> Column:
+    """The 34 boxes as one literal array, to be exploded next to each point."""
+    return struct_array(
+        [(o, a, b, c, d) for o, (_, _, a, b, c, d) in enumerate(K.PROVINCES)], ("ord", "a", "b", "c", "d"))
 
 
-def _nearest_province() -> Column:
-    return _closest(_province_array(), lambda p: haversine_km(
-        F.col("lat"), F.col("lon"), (p["lat_min"] + p["lat_max"]) / 2, (p["lon_min"] + p["lon_max"]) / 2))
+def place_points(points: DataFrame, key: str) -> DataFrame:
+    """Per point: smallest box holding it, and the box with the nearest centre (orders)."""
+    p = points.select(key, "lat", "lon", F.inline(_province_choices()))
+    inside = in_box(F.col("lat"), F.col("lon"), F.col("a"), F.col("b"), F.col("c"), F.col("d"))
+    area = (F.col("b") - F.col("a")) * (F.col("d") - F.col("c"))
+    center = haversine_km(F.col("lat"), F.col("lon"), (F.col("a") + F.col("b")) / 2, (F.col("c") + F.col("d")) / 2)
+    return p.groupBy(key).agg(
+        F.min(F.when(inside, F.struct(area.alias("m"), "ord")))["ord"].alias("in_ord"),
+        F.min(F.struct(center.alias("m"), "ord"))["ord"].alias("near_ord"))
 
 
-def label_points(points: DataFrame) -> DataFrame:
-    """Province, anchor city, text label, offshore flag and macro region per point.
+def label_points(points: DataFrame, key: str = "cell_id") -> DataFrame:
+    """Province, anchor city, text label, offshore flag and macro region per point."""
+    boxes = province_boxes(points.sparkSession).select("ord", "province", "macro")
+    placed = place_points(points, key).withColumn("ord", F.coalesce("in_ord", "near_ord")).join(F.broadcast(boxes), "ord")
+    return anchored(points, placed.select(
+        key, "province", F.col("macro").alias("region_macro"), F.col("province").alias("owner"),
+        F.col("in_ord").isNull().alias("is_offshore")), key)
 
-    The 34 boxes and 67 cities are literals, so this is one narrow projection without
-    a join. Labels of events are read from their cell; only cells are labelled.
-    """
-    lat, lon = F.col("lat"), F.col("lon")
-    inside = F.filter(_province_array(), lambda p: in_box(
-        lat, lon, p["lat_min"], p["lat_max"], p["lon_min"], p["lon_max"]))
-    smallest = _closest(inside, lambda p: (p["lat_max"] - p["lat_min"]) * (p["lon_max"] - p["lon_min"]))
-    located = once(points, "_inside", smallest)
-    located = once(located, "_prov", F.coalesce("_inside", _nearest_province())).withColumn(
-        "is_offshore", F.col("_inside").isNull())
-    return anchored(located, F.col("_prov.name"), F.col("_prov.macro")).drop("_inside", "_prov")
-
-
-def once(df: DataFrame, name: str, value: Column) -> DataFrame:
-    """Add a column that is computed once per row.
-
-    Projections are merged by the optimizer, which would copy a costly expression into
-    every lambda that reads it; a one-element generator keeps the stages apart.
-    """
-    return df.select("*", F.explode(F.array(value)).alias(name))
 
-
-def anchored(points: DataFrame, province: Column, macro: Column) -> DataFrame:
-    """Nearest anchor city inside the given province, and the label built from it.
-
-    A province without listed cities takes the cities of the nearest listed province.
-    """
-    known = F.col("province").isin([p[0] for p in K.PROVINCES])
-    own = F.filter(_anchor_array(), lambda a: a["province"] == F.col("_owner"))
-    city = _closest(own, lambda a: haversine_km(F.col("lat"), F.col("lon"), a["lat"], a["lon"]))
-    named = points.withColumn("province", province).withColumn("region_macro", macro)
-    owned = once(named, "_owner", F.when(known, F.col("province")).otherwise(_nearest_province()["name"]))
-    return (
-        once(owned, "_city", city).withColumn("subregion", F.col("_city.name"))
-        .withColumn("full_label", F.when(
-            F.col("is_offshore"),
-            F.concat(F.lit("Lepas Pantai "), "province", F.lit(" - dekat "), "subregion"),
-        ).otherwise(F.concat_ws(" - ", "province", "subregion"))).drop("_owner", "_city")
-    )
+def anchored(points: DataFrame, placed: DataFrame, key: str) -> DataFrame:
+    """Add the nearest city of the owning province, and the label built from it."""
+    cities = F.broadcast(anchor_cities(points.sparkSession))
+    city = (points.select(key, "lat", "lon").join(placed.select(key, "owner"), key).join(cities, "owner")
+            .groupBy(key).agg(F.min(F.struct(
+                haversine_km(F.col("lat"), F.col("lon"), F.col("c_lat"), F.col("c_lon")).alias("d"), "city_ord", "city"))["city"]
+                .alias("subregion")))
+    return points.join(placed.drop("owner"), key).join(city, key).withColumn("full_label", F.when(
+        F.col("is_offshore"),
+        F.concat(F.lit("Lepas Pantai "), "province", F.lit(" - dekat "), "subregion"),
+    ).otherwise(F.concat_ws(" - ", "province", "subregion")))
 
 
 def macro_of_province(name: Column) -> Column:
     """Macro region of a province name: the table first, then word rules."""
     lowered = F.lower(name)
+    known = F.create_map(*[F.lit(v) for p in K.PROVINCES for v in (p[0].lower(), p[1])])
     chain = F
-    for province, macro, *_ in K.PROVINCES:
-        chain = chain.when(lowered == province.lower(), macro)
     for macro, words in K.MACRO_WORDS:
-        test = F.lit(False)
-        for word in words:
-            test = test | F.contains(lowered, F.lit(word))
-        chain = chain.when(test, macro)
-    return chain.otherwise("Other")
+        chain = chain.when(lowered.rlike("|".join(words)), macro)
+    return F.coalesce(F.element_at(known, lowered), chain.otherwise("Other"))
 
 
 def label_with_polygons(points: DataFrame, edges: DataFrame) -> DataFrame:
@@ -121,12 +92,16 @@ def label_with_polygons(points: DataFrame, edges: DataFrame) -> DataFrame:
         .groupBy("cell_id", "province").count().where(F.col("count") % 2 == 1)
         .groupBy("cell_id").agg(F.min("province").alias("_poly"))
     )
-    plain = label_points(points.join(hit, "cell_id", "left"))
-    over = plain.withColumn("is_offshore", F.col("is_offshore") & F.col("_poly").isNull())
-    return anchored(
-        over, F.coalesce("_poly", "province"),
-        F.when(F.col("_poly").isNotNull(), macro_of_province(F.col("_poly"))).otherwise(F.col("region_macro")),
-    ).drop("_poly")
+    boxes = F.broadcast(province_boxes(points.sparkSession).select("ord", "province", "macro"))
+    placed = place_points(points, "cell_id").join(hit, "cell_id", "left")
+    near = placed.join(boxes.select(F.col("ord").alias("near_ord"), F.col("province").alias("near_name")), "near_ord")
+    named = near.withColumn("ord", F.coalesce("in_ord", "near_ord")).join(boxes, "ord")
+    known = F.lower("_poly").isin([p[0].lower() for p in K.PROVINCES])
+    return anchored(points, named.select(
+        "cell_id", F.coalesce("_poly", "province").alias("province"),
+        F.when(F.col("_poly").isNotNull(), macro_of_province(F.col("_poly"))).otherwise(F.col("macro")).alias("region_macro"),
+        F.when(F.col("_poly").isNull(), F.col("province")).when(known, F.col("_poly")).otherwise(F.col("near_name")).alias("owner"),
+        (F.col("_poly").isNull() & F.col("in_ord").isNull()).alias("is_offshore")), "cell_id")
 
 
 def fault_points(spark: SparkSession) -> DataFrame:
@@ -155,12 +130,8 @@ def fault_distances(points: DataFrame) -> DataFrame:
     """
     spark = points.sparkSession
     table = dimension(spark, "fault-points", fault_points).collect()  # fixed size
-    line = F.array(*[
-        F.struct(F.lit(r["f_lat"]).alias("la"), F.lit(r["f_lon"]).alias("lo"), F.lit(r["ord"]).alias("ord"))
-        for r in table
-    ])
-    facts = F.array(*[F.struct(F.lit(k).alias("fault_type"), F.lit(s).alias("slip"), F.lit(n).alias("name"))
-                      for n, k, s, _ in K.FAULTS])
+    line = struct_array([(r["f_lat"], r["f_lon"], r["ord"]) for r in table], ("la", "lo", "ord"))
+    facts = struct_array([(k, s, n) for n, k, s, _ in K.FAULTS], ("fault_type", "slip", "name"))
     subduction = [o for o, f in enumerate(K.FAULTS) if f[1] == "subduction"]
     dist = haversine_km(F.col("lat"), F.col("lon"), F.col("_p.la"), F.col("_p.lo"))
     near = (

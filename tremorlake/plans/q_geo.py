@@ -52,7 +52,7 @@ def g4_decode_center(spark, sf_dir):
        "select event_id, province, subregion, full_label, is_offshore, region_macro from labels_of"))
 def g5_label_points(spark, sf_dir):
     """Province, city and macro region of every event epicentre."""
-    return geology.label_points(quakes(spark, sf_dir).select("event_id", "lat", "lon")).select(
+    return geology.label_points(quakes(spark, sf_dir).select("event_id", "lat", "lon"), "event_id").select(
         "event_id", "province", "subregion", "full_label", "is_offshore", "region_macro")
 
 
@@ -95,7 +95,7 @@ named as (select event_id, case when event_id like 'b%' then province || ' Baru'
   from (select event_id, province, split_part(event_id, '_', 1) as source_ from labels_of))""",
        f"select event_id, name, {_MACRO_SQL} as macro from named"))
 def g7_macro_of_province(spark, sf_dir):
-    labelled = geology.label_points(quakes(spark, sf_dir).select("event_id", "source", "lat", "lon"))
+    labelled = geology.label_points(quakes(spark, sf_dir).select("event_id", "source", "lat", "lon"), "event_id")
     name = (F.when(F.col("source") == "bmkg", F.concat("province", F.lit(" Baru")))
             .when(F.col("source") == "usgs", F.upper("province")).otherwise(F.col("source")))
     return labelled.select("event_id", name.alias("name"), geology.macro_of_province(name).alias("macro"))

@@ -5,7 +5,8 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 _DIMENSIONS: dict[tuple[str, str], DataFrame] = {}
 
@@ -56,6 +57,13 @@ def inline(spark: SparkSession, rows, columns: str) -> DataFrame:
     return spark.sql(f"SELECT * FROM VALUES {body} AS t({columns})")
 
 
+def struct_array(rows, names) -> Column:
+    """A literal array of structs, parsed from text (one call, not one per value)."""
+    body = ", ".join(
+        "struct(" + ", ".join(f"{literal(v)} as {n}" for v, n in zip(row, names)) + ")" for row in rows)
+    return F.expr(f"array({body})")
+
+
 def literal(value) -> str:
     """A SQL literal that Spark and DuckDB read the same way."""
     if value is None:
