@@ -246,8 +246,8 @@ _CLUSTERS = """mem as (select a.*, f.probability from areas a join fc f using (c
 clus as materialized (select full_label as cluster_label, trim(regexp_replace(lower(full_label), '[^a-z0-9]+', '-', 'g'), '-') as cluster_id, any_value(province) as province,
  any_value(subregion) as subregion, any_value(region_macro) as region_macro, count(*) filter (where is_offshore) > count(*)/2e0 as is_offshore,
  count(*) as n_cells, count(*) filter (where is_offshore) as n_offshore_cells, max(probability) as prob_max,
- round(list_avg(list_sort(list(probability), 'DESC')[1:3]), 9) as prob_top3_mean, round(1-exp(sum(ln(1-least(probability, 1-1e-9)))), 9) as prob_any_cell,
- round(avg(probability), 9) as prob_mean, round(avg(lat), 6) as lat, round(avg(lon), 6) as lon, min(lat_min) as lat_min, max(lat_max) as lat_max, min(lon_min) as lon_min,
+ round(list_avg(list_sort(list(probability), 'DESC')[1:3]), 7) as prob_top3_mean, round(1-exp(sum(ln(1-least(probability, 1-1e-9)))), 9) as prob_any_cell,
+ round(avg(probability), 7) as prob_mean, round(avg(lat), 6) as lat, round(avg(lon), 6) as lon, min(lat_min) as lat_min, max(lat_max) as lat_max, min(lon_min) as lon_min,
  max(lon_max) as lon_max, array_to_string(list(cell_id order by probability desc, cell_id)[1:3], ',') as top_cells,
  array_to_string(list(cell_id order by probability desc, cell_id), ',') as cell_ids from mem group by 1)"""
 _CLUSTER_COLS = ("cluster_label, cluster_id, province, subregion, region_macro, is_offshore, n_cells, n_offshore_cells, prob_max, "
@@ -258,7 +258,7 @@ def _flat(df):
     r = lambda c, d: F.round(c, d).alias(c)
     return df.select(
         "cluster_label", "cluster_id", "province", "subregion", "region_macro", "is_offshore", "n_cells", "n_offshore_cells",
-        "prob_max", r("prob_top3_mean", 9), r("prob_any_cell", 9), r("prob_mean", 9), r("lat", 6), r("lon", 6),
+        "prob_max", r("prob_top3_mean", 7), r("prob_any_cell", 9), r("prob_mean", 7), r("lat", 6), r("lon", 6),
         "lat_min", "lat_max", "lon_min", "lon_max",
         F.array_join(F.transform("top_cells", lambda x: x["cell_id"]), ",").alias("top_cells"),
         F.array_join("cell_ids", ",").alias("cell_ids"))
@@ -281,7 +281,7 @@ def d9_top_clusters(spark, sf_dir):
 select cluster_id, n_cells, prob_mean from clus where region_macro='MalukuPapua' and n_cells >= 5 and prob_mean >= 2e-3"""))
 def f5_cluster_filters(spark, sf_dir):
     return serving.cluster_forecasts(geology.area_labels(spark), current(spark, sf_dir), 30, 5.0, "mean", "MalukuPapua",
-                                     None, 0.002, 5).select("cluster_id", "n_cells", F.round("prob_mean", 9).alias("prob_mean"))
+                                     None, 0.002, 5).select("cluster_id", "n_cells", F.round("prob_mean", 7).alias("prob_mean"))
 
 
 @query("f3_area_filter", S.stmt(S.QUAKES, S.AREAS, _HIT, """

@@ -127,8 +127,8 @@ def head_label(h: str, t: str) -> str:
 
 def poisson(name: str, start: str, end: str, events: str = "quakes") -> str:
     """CTE with 16 Poisson probabilities per cell for events in [start, end]."""
-    return f"""{name}_d as (select greatest(1e0, epoch({end} - {start})/86400e0) as days),
-{name}_e as (select cell_no, magnitude from {events} where time >= {start} and time <= {end} and cell_no is not null),
+    return f"""{name}_d as (select greatest(1e0, epoch(({end}) - ({start}))/86400e0) as days),
+{name}_e as (select cell_no, magnitude from {events} where time >= ({start}) and time <= ({end}) and cell_no is not null),
 {name}_g as (select t as mag_threshold, (select count(*) from {name}_e where magnitude >= t) as n from (values (45e-1),(5e0),(55e-1),(6e0)) y(t)),
 {name}_c as (select cell_no, t as mag_threshold, count(*) as n from {name}_e, (values (45e-1),(5e0),(55e-1),(6e0)) y(t) where magnitude >= t group by 1,2),
 {name} as materialized (select g.cell_no, h.horizon_days, h.mag_threshold,

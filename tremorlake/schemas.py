@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql.types import StructType
+from pyspark.sql.types import DoubleType, StringType, StructField, StructType, TimestampType
 
-EVENT = StructType.fromDDL(
-    "event_id string, time timestamp, lat double, lon double, depth double, magnitude double, "
-    "mag_type string, source string, place string")
+EVENT = StructType([
+    StructField("event_id", StringType()), StructField("time", TimestampType()), StructField("lat", DoubleType()),
+    StructField("lon", DoubleType()), StructField("depth", DoubleType()), StructField("magnitude", DoubleType()),
+    StructField("mag_type", StringType()), StructField("source", StringType()), StructField("place", StringType())])
 EVENT_COLUMNS = [f.name for f in EVENT]
 
 FEED_GEOJSON = ("features array<struct<id: string, geometry: struct<type: string, coordinates: array<double>>, "
@@ -15,8 +16,6 @@ FEED_FDSN = ("features array<struct<id: string, geometry: struct<coordinates: ar
              "properties: struct<time: string, origintime: string, mag: double, magnitude: double, depth: double, "
              "magtype: string, mag_type: string, source_id: string, unid: string, flynn_region: string, "
              "region: string, place: string>>>")
-AGENCY_RECORD = ("struct<DateTime: string, dateTime: string, Lintang: string, Lat: string, latitude: string, "
-                 "Bujur: string, Lon: string, longitude: string, Magnitude: string, Mag: string, "
-                 "Kedalaman: string, Depth: string, MagType: string, Wilayah: string, place: string>")
+AGENCY_RECORD = "map<string, string>"  # spellings of the keys vary, also by case only
 PAGE_RECORD = ("eventid string, waktu string, lintang string, bujur string, dalam string, mag string, "
                "fokal string, area string")
