@@ -13,7 +13,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tremorlake import constants as K
-from tremorlake.functions.geo import haversine_km_atan2
 from tremorlake.operators.scan import ranged
 from tremorlake.session import scratch_root
 
@@ -198,11 +197,10 @@ def canonical_events(events: DataFrame, members: DataFrame, by_score: bool = Tru
     Members stay in the long membership table; a cluster may be as large as the catalog.
     """
     score = F.coalesce(F.element_at(F.create_map(*[F.lit(v) for p in K.CANONICAL_SOURCE_SCORE for v in p]), F.lower("source")), F.lit(0))
-    rank = F.struct(F.col("magnitude").alias("m"), (score if by_score else F.lit(0)).alias("s"),
-                    (-F.unix_micros("time")).alias("t"))
+    rank = F.struct((-F.col("magnitude")).alias("m"), (-score if by_score else F.lit(0)).alias("s"), "time", "event_id")
     row = F.struct("event_id", "time", "lat", "lon", "depth", "magnitude", "place", "source")
     g = events.join(members, "event_id").groupBy("seed").agg(
-        F.max_by(F.struct(row.alias("r")), F.struct(rank.alias("k"), F.hex(F.xxhash64("event_id")).alias("u")))["r"].alias("r"),
+        F.min_by(row, rank).alias("r"),
         F.sort_array(F.collect_set(F.coalesce("source", F.lit("unknown")))).alias("sources"), F.count("*").alias("member_count"))
     return g.select(canonical_id(F.col("r.time"), F.col("r.lat"), F.col("r.lon"), F.col("r.magnitude")).alias("canonical_id"),
                     "seed", F.col("r.time").alias("time"), F.col("r.lat").alias("lat"), F.col("r.lon").alias("lon"),
@@ -218,4 +216,4 @@ def canonical_stats(raw: DataFrame, canonical: DataFrame) -> DataFrame:
     return both.withColumn("deduped_events", F.greatest(F.lit(0), F.col("raw_events") - F.col("canonical_events")))
 
 
-__all__ = ["canonical_events", "dedup_events", "haversine_km_atan2", "kept_events", "leader_clusters"]
+__all__ = ["canonical_events", "dedup_events", "kept_events", "leader_clusters"]
