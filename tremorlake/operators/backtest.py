@@ -73,7 +73,7 @@ def run_before(events: DataFrame, runs: DataFrame) -> DataFrame:
     order = Window.orderBy("issued_at", "run")  # the archive listing, one row per run
     spans = runs.select("run", "issued_at", F.lead("issued_at").over(order).alias("until")).where(
         F.col("until").isNull() | (F.col("until") > F.col("issued_at")))
-    asked = events.select("*", leads).withColumn("cutoff", F.timestamp_micros(F.unix_micros("time") - F.col("lead_seconds") * 1_000_000))
+    asked = events.select("*", leads).withColumn("cutoff", F.timestamp_micros(F.unix_micros("time") - F.col("lead_seconds").cast("bigint") * 1_000_000))
     end = asked.agg(F.max("cutoff").alias("m"))
     bounded = spans.withColumn("k", F.lit(1)).join(F.broadcast(end.withColumn("k", F.lit(1))), "k").drop("k").where("issued_at <= m")
     listed = bounded.withColumn("day", F.explode(F.sequence(F.to_date("issued_at"), F.to_date(F.coalesce("until", "m")))))

@@ -22,14 +22,15 @@ HEAD = ["horizon_days", "mag_threshold"]
 
 
 def align(labels: DataFrame, predictions: DataFrame, keys: list[str], baselines: dict[str, DataFrame]) -> DataFrame:
-    """Labels with prediction (0.5 if absent) and per-cell baselines (0.05 if absent).
+    """Labels with prediction (0.5 if absent) and baselines per cell or per head (0.05 if absent).
 
     Both keys, cell and snapshot, are used when the predictions carry them; one key
     alone would multiply rows.
     """
     out = labels.join(predictions, [*keys, *HEAD], "left").withColumn("p", F.coalesce("p", F.lit(K.PRED_FILL)))
     for name, base in baselines.items():
-        out = out.join(base.withColumnRenamed("p", name), ["cell_no", *HEAD], "left").withColumn(name, F.coalesce(name, F.lit(K.BASELINE_FILL)))
+        on = [c for c in ("cell_no", *HEAD) if c in base.columns]
+        out = out.join(base.withColumnRenamed("p", name), on, "left").withColumn(name, F.coalesce(name, F.lit(K.BASELINE_FILL)))
     return out
 
 

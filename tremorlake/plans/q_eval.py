@@ -31,7 +31,7 @@ def scored(spark, sf_dir):
     wins = [("model", "1995-01-01 00:00:00", "1998-01-01 00:00:00"), ("long", first, "2001-07-01 00:00:00")]
     both = priors.poisson_forecast(ev, priors.run_windows(spark, wins), 2)
     pick = lambda r: both.where(F.col("run") == r).select("cell_no", *E.HEAD, F.round("p", 9).alias("p"))
-    flat = grid.cells(spark).select("cell_no").join(priors.base_rates(ev).select(*E.HEAD, F.round("base_rate", 9).alias("p")))
+    flat = priors.base_rates(ev).select(*E.HEAD, F.round("base_rate", 9).alias("p"))
     return E.align(labels, pick("model"), ["cell_no"], {"poisson": flat, "etas": pick("long")})
 
 
@@ -181,7 +181,7 @@ def _pre_event(spark, sf_dir):
     ev = grid.with_cell_no(quakes(spark, sf_dir)).where("magnitude >= 6").select("event_id", "time", "cell_no")
     runs = store.archive_runs(spark, path).select(F.col("forecast_run_id").alias("run"), "issued_at")
     ids = F.broadcast(grid.cells(spark).select("cell_id", "cell_no"))
-    maps = store.archive(spark, path).withColumnRenamed("forecast_run_id", "run").join(ids, "cell_id")
+    maps = store.archive(spark, path).drop("run").withColumnRenamed("forecast_run_id", "run").join(ids, "cell_id")
     return B.pre_event_ranks(ev, runs, maps, 6.0, 300.0)
 
 
