@@ -2,7 +2,7 @@
 
 The likelihood needs, at every event, the decayed sum over all earlier events. The
 power law (t + c)^-p is written as a sum of about a hundred exponentials (trapezoid rule
-on its Laplace form, relative error near 1e-11), and exponential sums carry forward in
+on its Laplace form, relative error under 1e-10), and exponential sums carry forward in
 one number each. So the O(N^2) pair sum becomes one ordered scan: each range partition
 sums its own events, a small table carries the sums on, and no pairs are built.
 """
@@ -28,7 +28,7 @@ PARAMS = ("mu", "k", "c", "p", "alpha")
 _BLOCK = 256
 
 
-def exponentials(c: float, p: float, span: float, step: float = 0.4) -> tuple[np.ndarray, np.ndarray]:
+def exponentials(c: float, p: float, span: float, step: float = 0.3) -> tuple[np.ndarray, np.ndarray]:
     """Decay rates and weights with sum(w * exp(-s * x)) = x^-p for x in [c, c + span]."""
     low = -math.log(span + c) - 28.0 / p
     high = math.log(36.0 / c)
