@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tremorlake.llm import simhash
-from tremorlake.llm.common import table
+from tremorlake.llm import language, packing, quality_model, simhash
+from tremorlake.llm.common import crc_of_id, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -27,3 +27,24 @@ def query(name: str, sql: str | None = None):
 def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     return (simhash.near_groups(table(spark, sf_dir, "documents"))
             .select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id"))
+
+
+@query("op9_quality_model")
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = quality_model.fit(docs, table(spark, sf_dir, "labels"), crc_of_id() % 5 != 0)
+    scored = quality_model.score(docs, model, ["doc_id"])
+    return scored.select("doc_id", (crc_of_id() % 5 == 0).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
+@query("op2_language_id")
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = language.fit(docs, crc_of_id() % 4 != 2)
+    out = language.identify(docs, model, ["doc_id"])
+    return out.select("doc_id", (crc_of_id() % 4 == 2).alias("held_out"), "lang_pred", "score", F.size("lang_spans").alias("n_spans"))
+
+
+@query("op1_best_fit_packing")
+def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"))

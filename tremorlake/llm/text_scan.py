@@ -178,3 +178,12 @@ def _pairs(block: Block, start: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     ends = np.append(starts[1:], len(block.cp))
     keep = block.cls[starts] != SEP
     return starts[keep], ends[keep]
+
+
+@lru_cache(1)
+def lower_points() -> np.ndarray:
+    """Lower case of every code point, by itself (the first character where there are several)."""
+    table = np.arange(0x110000, dtype=np.uint32)
+    every = "".join(map(chr, range(0xD800)))
+    table[:0xD800] = np.fromiter((ord(c.lower()[0]) for c in every), np.uint32, 0xD800)
+    return table
