@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tremorlake.llm import language, packing, quality_model, simhash
+from tremorlake.llm import decontam, language, packing, quality_model, simhash
 from tremorlake.llm.common import crc_of_id, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -48,3 +48,8 @@ def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op1_best_fit_packing")
 def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
+
+
+@query("op4_decontamination")
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.hits(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
