@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tremorlake.llm.common import stored
+from tremorlake.llm.common import map_batches, stored
 from tremorlake.llm.text_scan import LETTER, NUMBER, Block, cut_long, grouped, lower_points
 
 SIMILARITY = 0.8  #: 1 - edits / words of the item
@@ -233,6 +233,37 @@ def _pieces(text: str, items: Items) -> list[tuple[int, str]]:
     return out
 
 
+def find_all(items: Items, texts: list[str | None]) -> list[tuple[int, int, int, int, int]]:
+    """(text, item, start, end, edits) of every find, in that order; finds in overlaps count once."""
+    rows = [(i, at, p) for i, t in enumerate(texts) for at, p in (_pieces(t, items) if t else [])]
+    got: dict[tuple, tuple] = {}
+    for s in grouped([p for _, _, p in rows]):
+        part = rows[s]
+        block = Block([p for _, _, p in part])
+        starts, ends, h = word_hashes(block)
+        if not len(h):
+            continue
+        owner = block.owner(starts)
+        edge = np.searchsorted(owner, np.arange(len(part) + 1))
+        base = block.sep - np.diff(block.sep, prepend=-1) + 1
+        for item, a, b, edits in search_block(items, h, edge[owner], edge[owner + 1]):
+            row, offset, _ = part[owner[a]]
+            shift = offset - int(base[owner[a]])
+            got[row, item, int(starts[a]) + shift] = (int(ends[b - 1]) + shift, edits)
+    return [(*k, *got[k]) for k in sorted(got)]
+
+
+def item_blocks(benchmark: DataFrame) -> list[Items]:
+    """The benchmark as blocks of about BLOCK_ITEMS items, each small enough to travel to the workers."""
+    items = stored(benchmark.select("item_id", "text").where("text is not null"), "items")
+    passes = max(1, -(-items.count() // BLOCK_ITEMS))
+    blocks = []
+    for k in range(passes):
+        part = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(passes)) == k).orderBy("item_id", "text")
+        blocks.append(Items.build([(r[0], r[1]) for r in part.collect()]))  # one block: a bounded number of items
+    return [b for b in blocks if b.ids]
+
+
 def hits(docs: DataFrame, benchmark: DataFrame, keep: str = "doc_id") -> DataFrame:
     """(keep, item_id, start, end, edits, similarity): places in whole texts within the edit limit of an item.
 
@@ -241,40 +272,29 @@ def hits(docs: DataFrame, benchmark: DataFrame, keep: str = "doc_id") -> DataFra
     match nothing; repeated rows each give their rows.
     """
     kind, item_kind = dict(docs.dtypes)[keep], dict(benchmark.dtypes)["item_id"]
-    items = stored(benchmark.select("item_id", "text").where("text is not null"), "items")
-    passes = max(1, -(-items.count() // BLOCK_ITEMS))
     schema = f"`{keep}` {kind}, item_id {item_kind}, start bigint, end bigint, edits int, similarity double"
-    out = None
-    for k in range(passes):
-        part = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(passes)) == k)
-        built = Items.build([(r[0], r[1]) for r in part.orderBy("item_id", "text").collect()])
-
-        def run(batches, built=built):
-            if not built.ids:
-                return
-            for batch in batches:
-                rows = [(i, at, p) for i, t in enumerate(batch.column("_text").to_pylist()) for at, p in (_pieces(t, built) if t else [])]
-                got: dict[tuple, tuple] = {}
-                for s in grouped([p for _, _, p in rows]):
-                    part = rows[s]
-                    block = Block([p for _, _, p in part])
-                    starts, ends, h = word_hashes(block)
-                    if not len(h):
-                        continue
-                    owner = block.owner(starts)
-                    edge = np.searchsorted(owner, np.arange(len(part) + 1))
-                    base = block.sep - np.diff(block.sep, prepend=-1) + 1
-                    for item, a, b, edits in search_block(built, h, edge[owner], edge[owner + 1]):
-                        row, offset, _ = part[owner[a]]
-                        shift = offset - int(base[owner[a]])
-                        got[(row, item, int(starts[a]) + shift)] = (int(ends[b - 1]) + shift, edits)
-                if got:
-                    keys = sorted(got)
-                    yield pa.RecordBatch.from_arrays(
-                        [batch.column("_key").take(pa.array([r for r, _, _ in keys])), pa.array([built.ids[i] for _, i, _ in keys]),
-                         pa.array([a for _, _, a in keys], pa.int64()), pa.array([got[x][0] for x in keys], pa.int64()), pa.array([got[x][1] for x in keys], pa.int32()),
-                         pa.array([1 - got[x][1] / int(built.size[x[1]]) for x in keys], pa.float64())], names=[keep, "item_id", "start", "end", "edits", "similarity"])
-
-        found = docs.select(F.col(keep).alias("_key"), F.col("text").alias("_text")).mapInArrow(run, schema)
-        out = found if out is None else out.unionByName(found)
+    found = docs.sparkSession.createDataFrame([], schema)
+    for items in item_blocks(benchmark):
+        def run(batch: pa.RecordBatch, items: Items = items) -> pa.RecordBatch | None:
+            rows = find_all(items, batch.column("_text").to_pylist())
+            if not rows:
+                return None
+            return pa.RecordBatch.from_arrays(
+                [batch.column("_key").take(pa.array([r[0] for r in rows])), pa.array([items.ids[r[1]] for r in rows]), pa.array([r[2] for r in rows], pa.int64()),
+                 pa.array([r[3] for r in rows], pa.int64()), pa.array([r[4] for r in rows], pa.int32()), pa.array([1 - r[4] / int(items.size[r[1]]) for r in rows], pa.float64())],
+                names=[keep, "item_id", "start", "end", "edits", "similarity"])
+
+        found = found.unionByName(map_batches(docs.select(F.col(keep).alias("_key"), F.col("text").alias("_text")), run, schema))
+    return found
+
+
+def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """The documents without any find, with all their columns; documents with a null text stay."""
+    out = docs
+    for items in item_blocks(benchmark):
+        def run(batch: pa.RecordBatch, items: Items = items, at: int = docs.columns.index("text")) -> pa.RecordBatch:
+            hit = {r[0] for r in find_all(items, batch.column(at).to_pylist())}
+            return batch.filter(pa.array([i not in hit for i in range(batch.num_rows)]))
+
+        out = map_batches(out, run, out.schema)
     return out

@@ -208,8 +208,8 @@ def fit(docs: DataFrame, eligible: Column | None = None, rows: int = FIT_ROWS) -
     return Model(languages, logs(grams, 0.5), logs(whole, 0.5), uses)
 
 
-def identify(docs: DataFrame, model: Model, keep: list[str] | None = None) -> DataFrame:
-    """The columns ``keep`` (all by default), ``lang_pred``, ``score`` and ``lang_spans``.
+def identify(docs: DataFrame, model: Model, keep: list[str] | None = None, names: tuple[str, str, str] = ("lang_pred", "score", "lang_spans")) -> DataFrame:
+    """The columns ``keep`` (all by default) and, under ``names``, language, score and spans.
 
     A text that is null or has no letter is ``und`` with score 0 and no spans.
     """
@@ -225,4 +225,4 @@ def identify(docs: DataFrame, model: Model, keep: list[str] | None = None) -> Da
                                           names=[*b.schema.names[:-1], "_l", "_s", "_p"])
 
     schema = ", ".join([*(f"{f.name} {f.dataType.simpleString()}" for f in held.drop("_text").schema), f"_l string, _s double, _p {kind}"])
-    return map_batches(held, of, schema).select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(columns)], F.col("_l").alias("lang_pred"), F.col("_s").alias("score"), F.col("_p").alias("lang_spans"))
+    return map_batches(held, of, schema).select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(columns)], F.col("_l").alias(names[0]), F.col("_s").alias(names[1]), F.col("_p").alias(names[2]))

@@ -208,8 +208,8 @@ def fit(docs: DataFrame, labels: DataFrame, eligible: Column | None = None, rows
     return Model(vectors, train(x, y, np.arange(len(y)) % 5 == 4))
 
 
-def score(docs: DataFrame, model: Model, keep: list[str] | None = None) -> DataFrame:
-    """The columns ``keep`` (all by default) and ``score``, the probability of label 1.
+def score(docs: DataFrame, model: Model, keep: list[str] | None = None, name: str = "score") -> DataFrame:
+    """The columns ``keep`` (all by default) and ``name``, the probability of label 1.
 
     Null and empty texts get the score of a document without words.
     """
@@ -222,4 +222,4 @@ def score(docs: DataFrame, model: Model, keep: list[str] | None = None) -> DataF
         return pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(model.score(b.column("_text").to_pylist()))], names=[*names, "_score"])
 
     out = map_batches(held, of, ", ".join([*(f"{f.name} {f.dataType.simpleString()}" for f in kinds), "_score double"]))
-    return out.select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(columns)], F.col("_score").alias("score"))
+    return out.select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(columns)], F.col("_score").alias(name))

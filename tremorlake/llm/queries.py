@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tremorlake.llm import decontam, language, packing, quality_model, quality_rules, simhash, token_counts, token_files
+from tremorlake.llm import decontam, html_text, language, packing, quality_model, quality_rules, resharding, simhash, token_counts, token_files
 from tremorlake.llm.common import crc_of_id, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -68,3 +68,15 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op7_quality_rules")
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@query("op3_flow_resharding")
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = resharding.reshard(table(spark, sf_dir, "documents"))
+    return out.select("doc_id", resharding.size_of().alias("size"), resharding.text_crc().alias("text_crc32"), F.lit("bytes").alias("law"),
+                      "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
+@query("op8_html_text")
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.main_text(table(spark, sf_dir, "pages"), ["page_id", "url"])

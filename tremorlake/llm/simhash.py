@@ -123,3 +123,17 @@ def near_groups(docs: DataFrame, words: int = 3, row: str = "doc_id") -> DataFra
     placed = stored(points.join(root, "fp", "left").select("fp", "_low", F.coalesce("root", "fp").alias("root")), "placed")
     lowest = placed.groupBy("root").agg(F.min("_low").alias("component_id"))
     return seen.join(placed.join(lowest, "root").select("fp", "component_id"), "fp").select(row, "fp", "component_id")
+
+
+def one_of_each_group(docs: DataFrame, words: int = 3) -> DataFrame:
+    """One document of each group of near copies, with all its columns: the one with the least id.
+
+    Repeated rows of one id count as one document. Documents with a null id cannot be told
+    apart and stay.
+    """
+    named = docs.where("doc_id is not null")
+    groups = stored(near_groups(named, words), "groups")
+    least = groups.where("doc_id = component_id")
+    repeated = least.groupBy("doc_id").count().where("count > 1").limit(1).count() > 0
+    kept = named.join(least.select("doc_id").distinct(), "doc_id", "left_semi")
+    return (kept.dropDuplicates(["doc_id"]) if repeated else kept).unionByName(docs.where("doc_id is null"))
