@@ -202,11 +202,13 @@ def search_block(items: Items, h: np.ndarray, begin: np.ndarray, last: np.ndarra
     out, open_item, low, high = [], -1, 0, 0
 
     def settle() -> None:
-        if open_item < 0:
-            return
-        edits, a, b = best_match(items.words(open_item), h[low:high].tolist())
-        if edits <= limit(int(items.size[open_item])):
-            out.append((open_item, low + a, low + b, edits))
+        stretches = [(low, high)] if open_item >= 0 else []
+        while stretches:  # the best find, then what lies left and right of it
+            left, right = stretches.pop()
+            edits, a, b = best_match(items.words(open_item), h[left:right].tolist())
+            if edits <= limit(int(items.size[open_item])):
+                out.append((open_item, left + a, left + b, edits))
+                stretches += [(left, left + a), (left + b, right)]
 
     for item, s in pairs.tolist():
         m = int(items.size[item])
