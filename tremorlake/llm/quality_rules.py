@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tremorlake.llm.common import stored
+from tremorlake.session import inline
 
 BLANK = "[\\x20\\x09-\\x0D]"
 ALPHA, DELTA = 0.03, 0.05
@@ -117,7 +118,7 @@ def certify(labelled: DataFrame, alpha: float = ALPHA, delta: float = DELTA, goo
         for name, (_, cutoffs) in RULES.items()])).alias("r")).select("stratum", "good", "r.*")
     found = long.groupBy("stratum", "rule", "over").agg(F.count_if("good").alias("g"), F.count_if(~F.col("good")).alias("b"))
     grid = found.select("stratum", "rule").distinct().join(
-        F.broadcast(labelled.sparkSession.createDataFrame([(name, i, float(c)) for name, (_, cs) in RULES.items() for i, c in enumerate(cs)], "rule string, step int, cutoff double")), "rule")
+        F.broadcast(inline(labelled.sparkSession, [(name, i, float(c)) for name, (_, cs) in RULES.items() for i, c in enumerate(cs)], "rule, step, cutoff")), "rule")
     # Cutoff ``step`` (from loose to strict) rejects the documents whose figure exceeds it: those over more than size - 1 - step cutoffs.
     sizes = F.element_at(F.create_map(*[F.lit(v) for name, (_, cs) in RULES.items() for v in (name, len(cs))]), F.col("rule"))
     steps = found.withColumn("step", sizes - F.col("over"))  # loosest step that rejects them; size: none does
