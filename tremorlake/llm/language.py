@@ -130,6 +130,8 @@ def viterbi(e: np.ndarray, lane: np.ndarray, switch: float = SWITCH) -> np.ndarr
 def label(texts: list[str | None], model: Model) -> list[tuple[str, float, list]]:
     """(language, score, spans) of each text; spans are (language, start, end) in characters."""
     n, kinds = len(texts), len(model.languages)
+    if not kinds:
+        return [(UNKNOWN, 0.0, []) for _ in texts]
     weight, belief = np.zeros((n, kinds)), np.zeros((n, kinds))
     spans: list[list] = [[] for _ in range(n)]
     pieces, owners, offsets = [], [], []
@@ -162,7 +164,7 @@ def label(texts: list[str | None], model: Model) -> list[tuple[str, float, list]
             else:
                 held.append((model.languages[lang], a, b))
     total = weight.sum(1)
-    best = weight.argmax(1) if kinds else np.zeros(n, np.int64)
+    best = weight.argmax(1)
     return [(model.languages[best[i]], float(min(1.0, belief[i, best[i]] / total[i])), spans[i]) if total[i] else (UNKNOWN, 0.0, []) for i in range(n)]
 
 
