@@ -47,13 +47,14 @@ def alert_decisions(maps: DataFrame) -> DataFrame:
         "seq", "mag_threshold", reason.alias("reason")).withColumn("alert", ~F.col("reason").isin(*quiet))
 
 
-def top_cell_event(events: DataFrame, top: DataFrame, radius_km: float = 300.0, recent: int = 80) -> DataFrame:
-    """Closest of the latest 80 M 4.5+ events within the radius of the top cell."""
-    last = events.where("magnitude >= 4.5").orderBy(F.desc("time"), "event_id").limit(recent)
+def top_cell_event(events: DataFrame, top: DataFrame, now: str, radius_km: float = 300.0, days: int = 7) -> DataFrame:
+    """Closest M 4.5+ event of the last days within the radius of the top cell; of equals the latest."""
+    until = F.lit(now).cast("timestamp")
+    last = events.where((F.col("magnitude") >= 4.5) & (F.col("time") <= until) & (F.col("time") >= until - F.make_interval(days=F.lit(days))))
     cell = top.select("cell_id").join(F.broadcast(area_labels(events.sparkSession)), "cell_id").select("cell_id", F.col("lat").alias("c_lat"), F.col("lon").alias("c_lon"))
     dist = haversine_km_atan2(F.col("c_lat"), F.col("c_lon"), F.col("lat"), F.col("lon"))
     near = last.withColumn("k", F.lit(1)).join(F.broadcast(cell.withColumn("k", F.lit(1))), "k").withColumn("dist_km", dist).where(F.col("dist_km") <= radius_km)
-    return near.groupBy("cell_id").agg(F.min(F.struct("dist_km", "event_id", "magnitude")).alias("b")).select("cell_id", "b.*")
+    return near.groupBy("cell_id").agg(F.min(F.struct("dist_km", (-F.unix_micros("time")).alias("_late"), "event_id", "magnitude")).alias("b")).select("cell_id", "b.*").drop("_late")
 
 
 def daily_report(users: DataFrame, opted_out: DataFrame, forecasts: DataFrame, day: str, sent: DataFrame | None = None) -> DataFrame:

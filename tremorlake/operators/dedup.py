@@ -188,7 +188,7 @@ def leader_clusters(events: DataFrame, seconds: int = K.CANONICAL_SECONDS, km: f
 
 def canonical_id(time: Column, lat: Column, lon: Column, magnitude: Column) -> Column:
     text = F.format_string("%s:%.3f:%.3f:%.1f", F.date_format(time, "yyyyMMdd'T'HHmmss"), lat, lon, magnitude)
-    return F.concat(F.lit("ce_"), F.substring(F.sha1(text), 1, 16))
+    return F.concat(F.lit("ce_"), F.sha1(text))
 
 
 def canonical_events(events: DataFrame, members: DataFrame, by_score: bool = True) -> DataFrame:

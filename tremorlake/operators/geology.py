@@ -24,20 +24,25 @@ def anchor_cities(spark: SparkSession) -> DataFrame:
 
 
 def _province_choices() -> Column:
-    """The 34 boxes as one literal array, to be exploded next to each point."""
+    """The 34 boxes as one literal array."""
     return struct_array(
         [(o, a, b, c, d) for o, (_, _, a, b, c, d) in enumerate(K.PROVINCES)], ("ord", "a", "b", "c", "d"))
 
 
 def place_points(points: DataFrame, key: str) -> DataFrame:
-    """Per point: smallest box holding it, and the box with the nearest centre (orders)."""
-    p = points.select(key, "lat", "lon", F.inline(_province_choices()))
-    inside = in_box(F.col("lat"), F.col("lon"), F.col("a"), F.col("b"), F.col("c"), F.col("d"))
-    area = (F.col("b") - F.col("a")) * (F.col("d") - F.col("c"))
-    center = haversine_km(F.col("lat"), F.col("lon"), (F.col("a") + F.col("b")) / 2, (F.col("c") + F.col("d")) / 2)
-    return p.groupBy(key).agg(
-        F.min(F.when(inside, F.struct(area.alias("m"), "ord")))["ord"].alias("in_ord"),
-        F.min(F.struct(center.alias("m"), "ord"))["ord"].alias("near_ord"))
+    """Per point: smallest box holding it, and the box with the nearest centre (orders).
+
+    The boxes are compared inside the row; points are neither copied nor shuffled.
+    """
+    def inside(b):
+        area = (b["b"] - b["a"]) * (b["d"] - b["c"])
+        return F.when(in_box(F.col("lat"), F.col("lon"), b["a"], b["b"], b["c"], b["d"]), F.struct(area.alias("m"), b["ord"].alias("ord")))
+
+    def centre(b):
+        return F.struct(haversine_km(F.col("lat"), F.col("lon"), (b["a"] + b["b"]) / 2, (b["c"] + b["d"]) / 2).alias("m"), b["ord"].alias("ord"))
+
+    best = lambda f: F.array_min(F.transform(_province_choices(), f))["ord"]
+    return points.select(key, "lat", "lon", best(inside).alias("in_ord"), best(centre).alias("near_ord"))
 
 
 def label_points(points: DataFrame, key: str = "cell_id") -> DataFrame:

@@ -129,10 +129,12 @@ ACCENTS = ("ÀÁÂÃÄÅÇÈÉÊËÌÍÎÏÑÒÓÔÕÖÙÚÛÜÝàáâãäåçè
 
 
 def slug(label: Column) -> Column:
+    """Address form of a label; a long one keeps its start and gets a digest, so that two labels never share it."""
     plain = F.lower(F.translate(F.coalesce(label, F.lit("")), *ACCENTS))
     ascii_only = F.regexp_replace(plain, r"[^\x00-\x7f]", "")
     dashed = F.regexp_replace(F.regexp_replace(ascii_only, "[^a-z0-9]+", "-"), "^-|-$", "")
-    return F.when(dashed == "", "unknown").otherwise(F.substring(dashed, 1, 80))
+    return F.when(dashed == "", "unknown").when(F.length(dashed) <= 80, dashed).otherwise(
+        F.concat(F.substring(dashed, 1, 80), F.lit("-"), F.sha1(label)))
 
 
 def clusters(rows: DataFrame) -> DataFrame:

@@ -19,14 +19,16 @@ def completeness_report(events: DataFrame, mc: float) -> DataFrame:
 
 
 def recent_events(events: DataFrame, now: str, days: int = 7, min_mag: float | None = None,
-                  source: str | None = None, limit: int = 500) -> DataFrame:
+                  source: str | None = None, limit: int | None = None) -> DataFrame:
+    """Events of the last days, newest first; all of them unless a ``limit`` is asked for."""
     since = F.lit(now).cast("timestamp") - F.make_interval(days=F.lit(days))
     out = events.where(F.col("time") >= since)
     if min_mag is not None:
         out = out.where(F.col("magnitude") >= min_mag)
     if source is not None:
         out = out.where(F.col("source") == source)
-    return out.orderBy(F.desc("time"), "event_id").limit(limit)
+    out = out.orderBy(F.desc("time"), "event_id")
+    return out if limit is None else out.limit(limit)
 
 
 def quality_checks(events: DataFrame) -> DataFrame:
@@ -78,7 +80,7 @@ def address_bucket(ip: Column) -> Column:
 
 
 def visitor_hash(day: Column, ip: Column, agent: Column, salt: str) -> Column:
-    return F.sha2(F.concat_ws("|", day, address_bucket(ip), F.substring(agent, 1, 160), F.lit(salt)), 256)
+    return F.sha2(F.concat_ws("|", day, address_bucket(ip), F.coalesce(agent, F.lit("")), F.lit(salt)), 256)
 
 
 def daily_visitors(hits: DataFrame, salt: str) -> DataFrame:

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from tremorlake import constants as K
 from tremorlake.functions.heads import to_wide
 from tremorlake.operators import grid, priors, usage, users
+from tremorlake.operators.scan import global_position
 from tremorlake.plans import sqlparts as S
 from tremorlake.plans.fixtures import AS_OF, quakes, stream_events, table
 from tremorlake.plans.registry import query
@@ -143,11 +144,15 @@ def a21_tier_counts(spark, sf_dir):
     return usage.tier_counts(runs, "2001-04-02", 2400).select("baseline_type", "n_runs", *ntz("last_issued"))
 
 
-# --- feeds: payloads are built by Spark from the catalog, one page of a feed per day -----
+# --- feeds: payloads are built by Spark from the catalog ---------------------------------
+
+PAGE_FEATURES = 500
+
 
 def _payloads(spark, sf_dir, feature, wrap):
-    q = quakes(spark, sf_dir)
-    return q.groupBy(F.to_date("time").alias("d"), F.pmod("event_key", F.lit(8)).alias("page")).agg(
+    """Payloads of at most PAGE_FEATURES features each."""
+    q = global_position(quakes(spark, sf_dir), ["event_key"])
+    return q.groupBy(F.floor(F.col("pos") / PAGE_FEATURES).alias("page")).agg(
         F.collect_list(feature).alias("features")).select(wrap(F.col("features")).alias("payload"))
 
 
@@ -193,7 +198,7 @@ def s10_s12_agency_feed(spark, sf_dir):
 
 @query("s11_page_listing", S.stmt(S.QUAKES, "select 'bmkg_' || event_key as event_id, time, lat, lon, depth, magnitude, 'bmkg' as source from quakes"))
 def s11_page_listing(spark, sf_dir):
-    """Pages whose script holds an index-referenced listing; one page per day slice."""
+    """Pages whose script holds an index-referenced listing, among all web pages (which hold none)."""
     row = F.struct(F.col("event_key").cast("string").alias("eventid"), F.when(F.col("event_key") % 2 == 0, F.date_format("time", "yyyy/MM/dd  HH:mm:ss.SSS"))
                    .otherwise(F.date_format("time", "yyyy-MM-dd'T'HH:mm:ss'Z'")).alias("waktu"),
                    F.col("lat").alias("lintang"), F.col("lon").alias("bujur"), F.col("depth").alias("dalam"), F.col("magnitude").alias("mag"))
@@ -201,7 +206,7 @@ def s11_page_listing(spark, sf_dir):
         F.lit('<html><script>var a = 1;</script><script type="application/json">[{"Infogempa":1},{"gempa":2},'),
         F.to_json(F.transform(f, lambda x, i: i + 3)), F.lit(","), F.array_join(F.transform(f, lambda x: F.to_json(x)), ","), F.lit("]</script></html>")))
     pages = pages.select(F.xxhash64("payload").alias("page_id"), F.col("payload").alias("html"))
-    return flat(feeds.page_events(feeds.page_records(pages, 0)))
+    return flat(feeds.page_events(feeds.page_records(pages.unionByName(table(spark, sf_dir, "pages").select("page_id", "html")))))
 
 
 @query("s13_csv_import", S.stmt(S.QUAKES, "select 'generic_' || event_key as event_id, date_trunc('minute', time) as time, lat, lon, depth, magnitude, 'generic' as source from quakes where magnitude >= 43e-1"))
@@ -289,7 +294,7 @@ def s20_model_registry(spark, sf_dir):
 
 # --- filters and reports --------------------------------------------------------------
 
-@query("f1_recent_events", S.stmt(S.QUAKES, f"select {_EV} from quakes where time >= timestamp '2001-07-25' - interval 30 day and magnitude >= 42e-1 and source='bmkg' order by time desc, event_id limit 500"))
+@query("f1_recent_events", S.stmt(S.QUAKES, f"select {_EV} from quakes where time >= timestamp '2001-07-25' - interval 30 day and magnitude >= 42e-1 and source='bmkg'"))
 def f1_recent_events(spark, sf_dir):
     return flat(usage.recent_events(quakes(spark, sf_dir), "2001-07-25", 30, 4.2, "bmkg"))
 

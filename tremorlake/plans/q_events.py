@@ -41,7 +41,7 @@ def d2_canonical_members(spark, sf_dir):
     return dedup.leader_clusters(quakes(spark, sf_dir))
 
 
-@query("d3_canonical_id", S.stmt(S.QUAKES, """select event_id, 'ce_' || substr(sha1(strftime(time, '%Y%m%dT%H%M%S') || ':' || printf('%.3f', lat) || ':' || printf('%.3f', lon) || ':' || printf('%.1f', magnitude)), 1, 16) as canonical_id from quakes"""))
+@query("d3_canonical_id", S.stmt(S.QUAKES, """select event_id, 'ce_' || sha1(strftime(time, '%Y%m%dT%H%M%S') || ':' || printf('%.3f', lat) || ':' || printf('%.3f', lon) || ':' || printf('%.1f', magnitude)) as canonical_id from quakes"""))
 def d3_canonical_id(spark, sf_dir):
     return quakes(spark, sf_dir).select("event_id", dedup.canonical_id(F.col("time"), F.col("lat"), F.col("lon"), F.col("magnitude")).alias("canonical_id"))
 

@@ -17,11 +17,25 @@ from tremorlake.sources import store
 from tremorlake.streaming import flows
 
 
-def _as_stream(df, name):
-    """Land a frame as files and read them back as a stream."""
-    path = scratch_path(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.readStream.schema(df.schema).parquet(path)
+def _as_stream(df, name, time=None, batches=4):
+    """Land a frame as files and read them back as a stream of several micro-batches.
+
+    With ``time`` the files are slices of ascending time, landed one after the other.
+    """
+    spark = df.sparkSession
+    path = scratch_path(spark, name)
+    if time is None:
+        df.repartition(batches).write.parquet(path)
+    else:
+        held = scratch_path(spark, f"{name}-held")
+        df.withColumn("_at", F.unix_micros(F.col(time)) if dict(df.dtypes)[time] == "timestamp" else F.col(time).cast("bigint")).write.parquet(held)
+        landed = spark.read.parquet(held)
+        cuts = landed.approxQuantile("_at", [i / batches for i in range(1, batches)], 0.01)
+        for i in range(batches):
+            low = F.lit(True) if i == 0 or not cuts else F.col("_at") > cuts[i - 1]
+            high = F.lit(True) if i == batches - 1 or not cuts else F.col("_at") <= cuts[i]
+            landed.where(low & high).drop("_at").coalesce(1).write.mode("append").parquet(path)
+    return spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(path)
 
 
 @query("x1_stream_ingest", S.stmt(S.QUAKES, "select event_id, time, lat, lon, depth, magnitude, source from quakes"))
@@ -40,8 +54,8 @@ def x7_stream_visitors(spark, sf_dir):
 
 
 _TICKS = """b as (select min(date_trunc('hour', ts)) as a, max(date_trunc('hour', ts)) as z from events),
-t as (select k.event_type as key, b.a + to_minutes(cast(30*i.i as bigint)) as tick, i.i from (select distinct event_type from events where event_id % 40 = 0) k, b, range(0, 2000) i(i) where b.a + to_minutes(cast(30*i.i as bigint)) <= b.z),
-c as (select t.key, t.tick, t.i, count(e.event_id) as n from t left join (select * from events where event_id % 40 = 0) e on e.event_type = t.key and e.ts > t.tick - interval 30 minute and e.ts <= t.tick group by 1,2,3),
+t as (select cast(k.user_id as varchar) as key, b.a + to_minutes(cast(30*i.i as bigint)) as tick, i.i from (select distinct user_id from events) k, b, range(0, 2000) i(i) where b.a + to_minutes(cast(30*i.i as bigint)) <= b.z),
+c as (select t.key, t.tick, t.i, count(e.event_id) as n from t left join events e on cast(e.user_id as varchar) = t.key and e.ts > t.tick - interval 30 minute and e.ts <= t.tick group by 1,2,3),
 f(key, i, tick, pending, reason, last) as (
   select key, i, tick, n, case when n > 0 then 'new_events' else 'fallback' end, tick from c where i = 0
   union all select c.key, c.i, c.tick, r.p, r.reason, case when r.reason in ('new_events','fallback') then c.tick else f.last end
@@ -51,18 +65,17 @@ f(key, i, tick, pending, reason, last) as (
 
 @query("x2_triggers", S.stmt(_TICKS, "select key, tick, pending, reason from f", recursive=True))
 def x2_triggers(spark, sf_dir):
-    """Half-hourly polls per stream; one source's sparse sub-feed (every 40th report) keeps gaps."""
-    ev = stream_events(spark, sf_dir).select(F.col("event_type").alias("key"), "ts", "event_id")
+    """Half-hourly polls of every reporting station (user), with all its events."""
+    ev = stream_events(spark, sf_dir).select(F.col("user_id").cast("string").alias("key"), "ts")
     hour = F.date_trunc("hour", "ts")
     span = ev.agg(F.min(hour).alias("a"), F.max(hour).alias("z"))
-    sub = ev.where("event_id % 40 = 0")
     half = 1800
-    keys = sub.select("key").distinct().withColumn("j", F.lit(1)).join(F.broadcast(span.withColumn("j", F.lit(1))), "j")
+    keys = ev.select("key").distinct().withColumn("j", F.lit(1)).join(F.broadcast(span.withColumn("j", F.lit(1))), "j")
     ticks = keys.select("key", F.explode(F.sequence("a", "z", F.expr("interval 30 minutes"))).alias("tick"))
     at = F.timestamp_seconds(F.ceil(F.unix_micros("ts") / F.lit(half * 1e6)) * half)
-    counts = sub.groupBy("key", at.alias("tick")).agg(F.count("*").alias("n"))
+    counts = ev.groupBy("key", at.alias("tick")).agg(F.count("*").alias("n"))
     polls = ticks.join(counts, ["key", "tick"], "left").select("key", "tick", F.coalesce("n", F.lit(0)).alias("n_new"))
-    out = flows.to_table(flows.triggers(_as_stream(polls, "polls"), 45, 180), "triggers")
+    out = flows.to_table(flows.triggers(_as_stream(polls, "polls", "tick"), 45, 180), "triggers")
     return out.select("key", *ntz("tick"), "pending", "reason")
 
 
@@ -73,7 +86,7 @@ f(key, sent_at) as (select key, min(ts) from e group by 1 union all
 def x4_cooldown(spark, sf_dir):
     """Alerts of every event stream with a value above 20, cooled down for an hour."""
     hot = stream_events(spark, sf_dir).where("value > 20").select(F.col("event_type").alias("key"), F.col("ts").alias("time"))
-    return flows.to_table(flows.cooled_alerts(_as_stream(hot, "hot")), "alerts").select("key", *ntz("sent_at"))
+    return flows.to_table(flows.cooled_alerts(_as_stream(hot, "hot", "time")), "alerts").select("key", *ntz("sent_at"))
 
 
 @query("x8_stream_limit", """with s as (select event_type as key, cast(floor(epoch(ts)) as bigint) as sec, count(*) as n from events group by 1,2),
@@ -81,7 +94,7 @@ b as (select *, cast(coalesce(sum(n) over (partition by key order by sec range b
 select key, sec, n, "before", least(n, greatest(0, 5 - "before")) as allowed from b""")
 def x8_stream_limit(spark, sf_dir):
     per_sec = stream_events(spark, sf_dir).groupBy(F.col("event_type").alias("key"), F.unix_seconds("ts").alias("sec")).agg(F.count("*").alias("n"))
-    return flows.to_table(flows.attempt_limit(_as_stream(per_sec, "attempts")), "limits").select("key", "sec", "n", "before", "allowed")
+    return flows.to_table(flows.attempt_limit(_as_stream(per_sec, "attempts", "sec")), "limits").select("key", "sec", "n", "before", "allowed")
 
 
 def _maps(spark, sf_dir):
@@ -112,11 +125,11 @@ def x3_alert_decisions(spark, sf_dir):
 
 
 @query("j14_top_cell_event", S.stmt(S.QUAKES, S.PUBLIC, f"""top as (select f.cell_no, a.cell_id, a.lat as clat, a.lon as clon from fc f join areas a using (cell_no) where horizon_days=30 and mag_threshold=5 order by probability desc, a.cell_id limit 1),
-l as (select * from quakes where magnitude >= 45e-1 order by time desc, event_id limit 80), d as (select cell_id, event_id, magnitude, {S.hav_atan2('clat', 'clon', 'lat', 'lon')} as dist_km from top, l)
-select cell_id, round(min(dist_km), 6) as dist_km, arg_min(event_id, (dist_km, event_id)) as event_id, arg_min(magnitude, (dist_km, event_id)) as magnitude from d where dist_km <= 2000 group by 1"""))
+l as (select * from quakes where magnitude >= 45e-1 and time between timestamp '2001-07-01' - interval 7 day and timestamp '2001-07-01'), d as (select cell_id, event_id, magnitude, -epoch_us(time) as late, {S.hav_atan2('clat', 'clon', 'lat', 'lon')} as dist_km from top, l)
+select cell_id, round(min(dist_km), 6) as dist_km, arg_min(event_id, (dist_km, late, event_id)) as event_id, arg_min(magnitude, (dist_km, late, event_id)) as magnitude from d where dist_km <= 2000 group by 1"""))
 def j14_top_cell_event(spark, sf_dir):
     top = serving.top_forecasts(geology.area_labels(spark), current(spark, sf_dir), n=1)
-    return alerts.top_cell_event(quakes(spark, sf_dir), top, 2000.0).select("cell_id", F.round("dist_km", 6).alias("dist_km"), "event_id", "magnitude")
+    return alerts.top_cell_event(quakes(spark, sf_dir), top, "2001-07-01", 2000.0).select("cell_id", F.round("dist_km", 6).alias("dist_km"), "event_id", "magnitude")
 
 
 @query("x5_daily_report", S.stmt(S.QUAKES, S.PUBLIC, """us as (select c_custkey as chat_id, (c_custkey*7919 % 17000 - 11000)/1e3 as lat, (c_custkey*104729 % 46000 + 95000)/1e3 as lon from customer where c_acctbal >= 0

@@ -17,5 +17,3 @@ FEED_FDSN = ("features array<struct<id: string, geometry: struct<coordinates: ar
              "magtype: string, mag_type: string, source_id: string, unid: string, flynn_region: string, "
              "region: string, place: string>>>")
 AGENCY_RECORD = "map<string, string>"  # spellings of the keys vary, also by case only
-PAGE_RECORD = ("eventid string, waktu string, lintang string, bujur string, dalam string, mag string, "
-               "fokal string, area string")

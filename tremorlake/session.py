@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -19,9 +20,15 @@ def prepare(spark: SparkSession) -> SparkSession:
 
 
 def scratch_root(spark: SparkSession) -> str:
-    """The shared folder the cluster names; a private one only where none is named."""
+    """The shared folder the cluster names in ``spark.checkpoint.dir``.
+
+    Only a local session, where driver and executors are one process, may do without: it
+    gets a private folder. On a cluster a missing name is an error.
+    """
     context = spark.sparkContext
     folder = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
+    if not folder and not re.fullmatch(r"local(\[[^\]]*\])?", context.master):
+        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
     if not folder:
         folder = tempfile.mkdtemp(prefix="tremorlake-")
     if not context.getCheckpointDir():

@@ -1,7 +1,8 @@
 """Structured Streaming jobs: ingest, visitor counts, triggers, cool-downs, limits.
 
 Every job drains what is there (``availableNow``) or runs on, as the caller's trigger
-says. State is bounded by keys and by the look-back, never by the stream's length.
+says. State is bounded by keys and by the look-back, never by the stream's length;
+a micro-batch is bounded by the reader's ``maxFilesPerTrigger``.
 """
 
 from __future__ import annotations
@@ -14,7 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from tremorlake import constants as K
-from tremorlake.operators.usage import tracked, visitor_hash
+from tremorlake.operators.usage import daily_visitors
 from tremorlake.session import scratch_path
 from tremorlake.sources.store import append_events, read_events
 
@@ -26,37 +27,34 @@ def drain(stream: DataFrame, name: str, handler, mode: str = "append") -> None:
     query.awaitTermination()
 
 
-def to_table(stream: DataFrame, name: str, mode: str = "append") -> DataFrame:
-    """Drain into a Parquet table; a replayed batch overwrites its own folder."""
+def to_table(stream: DataFrame, name: str, mode: str = "append", shape=lambda batch: batch) -> DataFrame:
+    """Drain into a Parquet table, each micro-batch shaped first; a replayed batch overwrites its own folder."""
     spark = stream.sparkSession
     path = scratch_path(spark, f"table-{name}")
-    drain(stream, name, lambda df, batch: df.write.mode("overwrite").parquet(f"{path}/batch={batch}"), mode)
+    drain(stream, name, lambda df, batch: shape(df).write.mode("overwrite").parquet(f"{path}/batch={batch}"), mode)
     return spark.read.option("basePath", path).parquet(path)
 
 
 # --- ingest ------------------------------------------------------------------------------
 
-def ingest(stream: DataFrame, table_path: str, lookback_hours: int = K.LOOKBACK_HOURS) -> DataFrame:
-    """Idempotent ingest: repeats inside the look-back are dropped by state, older repeats
-    and replayed batches by the anti-join against the table."""
-    unique = stream.withWatermark("time", f"{lookback_hours} hours").dropDuplicatesWithinWatermark(["event_id"])
-    drain(unique, "ingest", lambda df, _: append_events(df, table_path))
+def ingest(stream: DataFrame, table_path: str) -> DataFrame:
+    """Idempotent ingest: a micro-batch drops its own repeats and, by an anti-join with the
+    table, everything stored before. No watermark: late events are events like any other."""
+    drain(stream, "ingest", lambda df, _: append_events(df, table_path))
     return read_events(stream.sparkSession, table_path)
 
 
 # --- visitors ------------------------------------------------------------------------------
 
 def visitor_counts(hits: DataFrame, salt: str) -> DataFrame:
-    """Per-day visitor counters kept in state and emitted on change; newest value per key."""
-    day = F.date_format("time", "yyyy-MM-dd")
-    counted = (hits.where(tracked(F.col("path"))).withWatermark("time", "1 day")
-               .withColumn("visitor_id", visitor_hash(day, F.col("ip"), F.col("agent"), salt))
-               .groupBy(F.window("time", "1 day"), "visitor_id")
-               .agg(F.min("time").alias("first_seen"), F.max("time").alias("last_seen"), F.count("*").alias("hits")))
-    rows = to_table(counted.select(F.date_format("window.start", "yyyy-MM-dd").alias("day"), "visitor_id", "first_seen", "last_seen", "hits"),
-                    "visitors", "update")
-    return rows.groupBy("day", "visitor_id").agg(F.max(F.struct("batch", "first_seen", "last_seen", "hits")).alias("b")).select(
-        "day", "visitor_id", "b.first_seen", "b.last_seen", "b.hits")
+    """Per-day visitor counters: each micro-batch leaves its partial counts, which add up.
+
+    Nothing is kept in state and nothing is ever too late: a hit of a past day is one more
+    partial count of that day.
+    """
+    rows = to_table(hits, "visitors", shape=lambda batch: daily_visitors(batch, salt))
+    return rows.groupBy("day", "visitor_id").agg(
+        F.min("first_seen").alias("first_seen"), F.max("last_seen").alias("last_seen"), F.sum("hits").alias("hits"))
 
 
 # --- recompute trigger -----------------------------------------------------------------------
