@@ -100,12 +100,13 @@ def test_files_hold_documents(spark, tmp_path, library):
     docs = spark.createDataFrame([(i, f"text number {i}") for i in range(50)], "doc_id bigint, text string")
     folder = f"file://{tmp_path}/tokens"
     for m in token_files.write(docs, folder, parts=3).collect():
-        file = token_files.TokenFile(f"{tmp_path}/tokens", m["name"])
+        file = token_files.TokenFile(f"{tmp_path}/tokens", m["name"], m["width"])
         assert len(file) == m["docs"]
         for i, key in enumerate(file.keys):
             assert file.document(i).tolist() == ids_of(library["word_bpe_49k.json"], f"text number {key}", 1).tolist()
     with pytest.raises(ValueError):
         token_files.local_folder("hdfs://host/folder")
+    assert (token_files.id_type(1 << 16), token_files.id_type((1 << 16) + 1)) == ("<u2", "<u4")
 
 
 def check_packing(rows, docs, tokenizer, capacity):

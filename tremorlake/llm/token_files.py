@@ -1,8 +1,9 @@
 """Token ids as flat binary files with document offsets, read back through memory maps.
 
 A dataset is a folder that driver and executors share, with one pair of files per
-partition: ``NAME.ids`` holds the ids of its documents one after the other (unsigned
-32-bit, little-endian), ``NAME.idx`` holds two unsigned 64-bit values per document (its
+partition: ``NAME.ids`` holds the ids of its documents one after the other (unsigned,
+little-endian, 16 bits where the tokenizer's vocabulary allows it and 32 elsewhere),
+``NAME.idx`` holds two unsigned 64-bit values per document (its
 first id counted from the start of the file, its number of ids) and ``NAME.key`` the
 documents' ids as signed 64-bit. Partitions are ranges of the document id; where a
 partition starts in the whole dataset is a prefix sum over the partitions' totals.
@@ -28,7 +29,12 @@ from tremorlake.session import scratch_path, shuffle_width
 TOKENIZER, END_ID = "word_bpe_49k.json", 1
 NULL_KEY = -(1 << 63)  #: stands for a null document id in the key file
 READ_DOCS = 4096  #: documents a reader returns at once
-MANIFEST = "part int, name string, docs bigint, ids bigint"
+MANIFEST = "part int, name string, width string, docs bigint, ids bigint"
+
+
+def id_type(vocabulary: int) -> str:
+    """The narrowest unsigned type that holds every id."""
+    return "<u2" if vocabulary <= 1 << 16 else "<u4"
 
 
 def local_folder(path: str) -> str:
@@ -50,6 +56,7 @@ def write(docs: DataFrame, folder: str, tokenizer: str = TOKENIZER, end_id: int
 
     def run(batches):
         codec = encoder(tokenizer_file(tokenizer))
+        width = id_type(max(codec.library.get_vocab_size(with_added_tokens=True), (end_id or 0) + 1))
         part = TaskContext.get().partitionId()
         name, docs_written, ids_written = f"part-{part:06d}-{uuid.uuid4().hex}", 0, 0
         os.makedirs(place, exist_ok=True)
@@ -60,12 +67,12 @@ def write(docs: DataFrame, folder: str, tokenizer: str = TOKENIZER, end_id: int
                 flat, size = codec.encode(batch.column("_text").to_pylist())
                 if end_id is not None:
                     flat, size = np.insert(flat, np.cumsum(size), np.uint32(end_id)), size + 1
-                ids.write(flat.astype("<u4").tobytes())
+                ids.write(flat.astype(width).tobytes())
                 idx.write(np.stack([ids_written + np.cumsum(size) - size, size], axis=1).astype("<u8").tobytes())
                 key.write(batch.column("doc_id").fill_null(NULL_KEY).to_numpy().astype("<i8").tobytes())
                 docs_written += len(size)
                 ids_written += int(size.sum())
-        yield pa.RecordBatch.from_pydict({"part": pa.array([part], pa.int32()), "name": [name], "docs": pa.array([docs_written]), "ids": pa.array([ids_written])})
+        yield pa.RecordBatch.from_pydict({"part": pa.array([part], pa.int32()), "name": [name], "width": [width], "docs": pa.array([docs_written]), "ids": pa.array([ids_written])})
 
     width = parts or shuffle_width(docs.sparkSession)
     ordered = (docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.coalesce("text", F.lit("")).alias("_text"))
@@ -82,8 +89,8 @@ def bases(manifest: DataFrame) -> DataFrame:
 class TokenFile:
     """One partition's files as memory maps; documents are slices of the map."""
 
-    def __init__(self, folder: str, name: str):
-        self.ids = self._map(f"{folder}/{name}.ids", "<u4")
+    def __init__(self, folder: str, name: str, width: str):
+        self.ids = self._map(f"{folder}/{name}.ids", width)
         self.index = self._map(f"{folder}/{name}.idx", "<u8").reshape(-1, 2)
         self.keys = self._map(f"{folder}/{name}.key", "<i8")
 
@@ -106,11 +113,11 @@ def read(manifest: DataFrame, folder: str) -> DataFrame:
     def run(batches):
         for batch in batches:
             for row in batch.to_pylist():
-                file = TokenFile(place, row["name"])
+                file = TokenFile(place, row["name"], row["width"])
                 for at in range(0, len(file), READ_DOCS):
                     index = np.asarray(file.index[at:at + READ_DOCS]).astype(np.int64)
                     keys = np.asarray(file.keys[at:at + READ_DOCS])
-                    crc = [zlib.crc32(file.document(i)) for i in range(at, at + len(index))]
+                    crc = [zlib.crc32(file.document(i).astype("<u4").tobytes()) for i in range(at, at + len(index))]
                     yield pa.RecordBatch.from_arrays([pa.array(keys, mask=keys == NULL_KEY), pa.array(index[:, 0] + row["base"]), pa.array(index[:, 1]), pa.array(crc, pa.int64())],
                                                      names=["doc_id", "start", "n_tokens", "ids_crc32"])
 
