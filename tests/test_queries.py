@@ -7,7 +7,7 @@ import __spark_entry__ as entry
 from tools.check import TABLES, rows_of
 
 SF = "/root/testdata/sf0.001"
-PICK = ["g5_label_points", "g12_radius", "k1_top_forecasts", "d1_j9_dedup", "d7_decluster", "d8_clusters", "a11_features", "b2_labels", "e1_e10_scores",
+PICK = ["j13_region_pages", "s5_read_run", "x3_x4_alert_chain", "x5_daily_top", "d2_rebuild_counts", "j14_top_cell_event", "g5_label_points", "g12_radius", "k1_top_forecasts", "d1_j9_dedup", "d7_decluster", "d8_clusters", "a11_features", "b2_labels", "e1_e10_scores",
         "e5_molchan", "e13_backtest_summary", "e15_w6_rank_summary", "m9_blend", "m17_etas_loglik", "s2_append_unseen", "s4_archive_runs", "s8_geojson_feed",
         "s11_page_listing", "s13_csv_import", "x1_stream_ingest", "x2_triggers", "x3_alert_decisions", "x4_cooldown", "x7_stream_visitors", "x8_stream_limit"]
 

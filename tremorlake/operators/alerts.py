@@ -47,6 +47,16 @@ def alert_decisions(maps: DataFrame) -> DataFrame:
         "seq", "mag_threshold", reason.alias("reason")).withColumn("alert", ~F.col("reason").isin(*quiet))
 
 
+def combined_alerts(decisions: DataFrame, issued: DataFrame) -> DataFrame:
+    """One row per run in which any threshold asks for an alert: when, and all reasons.
+
+    ``issued(seq, issued_at)`` has a row per run. Feed the result to the cool-down.
+    """
+    asked = decisions.where("alert").groupBy("seq").agg(F.array_join(F.array_sort(F.collect_list(
+        F.concat_ws(":", F.format_string("%.1f", "mag_threshold"), "reason"))), ",").alias("reasons"))  # three thresholds
+    return asked.join(issued, "seq").select(F.lit("all").alias("key"), F.col("issued_at").alias("time"), "reasons")
+
+
 def top_cell_event(events: DataFrame, top: DataFrame, now: str, radius_km: float = 300.0, days: int = 7) -> DataFrame:
     """Closest M 4.5+ event of the last days within the radius of the top cell; of equals the latest."""
     until = F.lit(now).cast("timestamp")

@@ -208,6 +208,19 @@ def canonical_events(events: DataFrame, members: DataFrame, by_score: bool = Tru
                     F.col("r.source").alias("primary_source"), "sources", F.size("sources").alias("source_count"), "member_count")
 
 
+def canonical_input(events: DataFrame, now: str | None = None, days: int | None = None) -> tuple[DataFrame, DataFrame]:
+    """(events a rebuild takes, one row with how many it takes and skips).
+
+    With ``days`` only the last days before ``now`` count; rows without time, place or
+    magnitude are skipped.
+    """
+    if days is not None:
+        until = F.lit(now).cast("timestamp")
+        events = events.where((F.col("time") >= until - F.make_interval(days=F.lit(days))) & (F.col("time") <= until))
+    whole = F.col("time").isNotNull() & F.col("lat").isNotNull() & F.col("lon").isNotNull() & F.col("magnitude").isNotNull()
+    return events.where(whole), events.agg(F.count_if(whole).alias("taken"), F.count_if(~whole).alias("skipped"))
+
+
 def canonical_stats(raw: DataFrame, canonical: DataFrame) -> DataFrame:
     left = raw.agg(F.count("*").alias("raw_events"))
     right = canonical.agg(F.count("*").alias("canonical_events"), F.count_if(F.col("source_count") > 1).alias("multi_source_events"),

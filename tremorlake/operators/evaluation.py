@@ -21,6 +21,9 @@ from tremorlake.operators.scan import ranged, running_totals
 HEAD = ["horizon_days", "mag_threshold"]
 
 
+PART_SCORES = 4000  #: distinct scores drawn in one task (times the simulations: its matrix)
+
+
 def align(labels: DataFrame, predictions: DataFrame, keys: list[str], baselines: dict[str, DataFrame]) -> DataFrame:
     """Labels with prediction (0.5 if absent) and baselines per cell or per head (0.05 if absent).
 
@@ -123,7 +126,8 @@ def _poisson_cdf(n: Column, lam: Column) -> Column:
     x = start + 1
     stirling = (x - 0.5) * F.ln(x) - x + 0.5 * math.log(2 * math.pi) + 1 / (12 * x) - 1 / (360 * F.pow(x, 3)) + 1 / (1260 * F.pow(x, 5))
     first = F.when(start == 0, -lam).otherwise(start * F.ln(lam) - lam - stirling)
-    steps = F.when(n >= start + 1, F.sequence((start + 1).cast("bigint"), n.cast("bigint"))).otherwise(F.array().cast("array<bigint>"))
+    last = F.least(n, F.ceil(lam + 40 * F.sqrt(lam) + 50))  # beyond, nothing is left to add
+    steps = F.when(last >= start + 1, F.sequence((start + 1).cast("bigint"), last.cast("bigint"))).otherwise(F.array().cast("array<bigint>"))
     total = F.aggregate(steps, F.struct(first.alias("t"), F.exp(first).alias("s")),
                         lambda a, k: F.struct((a["t"] + F.ln(lam) - F.ln(k.cast("double"))).alias("t"),
                                               (a["s"] + F.exp(a["t"] + F.ln(lam) - F.ln(k.cast("double")))).alias("s")))["s"]
@@ -185,9 +189,10 @@ def s_test(df: DataFrame, n_sim: int = K.N_SIMULATIONS) -> DataFrame:
     """Spatial likelihood against draws of the observed number of events.
 
     The multinomial draw is split in two exact steps: counts per range partition, then
-    counts per score inside each partition.
+    counts per score inside each partition, of about PART_SCORES scores.
     """
-    groups = ranged(by_score(df).select(*HEAD, "p", "n").where("p > 0"), [*HEAD, "p"])
+    scores = by_score(df).select(*HEAD, "p", "n").where("p > 0").checkpoint()
+    groups = ranged(scores, [*HEAD, "p"], max(1, -(-scores.count() // PART_SCORES)))
     total = df.groupBy(*HEAD).agg(F.sum("p").alias("sum_p"), F.sum("y").cast("bigint").alias("events")).where("events > 0 and sum_p > 0")
     shares = groups.groupBy(*HEAD, "part").agg(F.sum(F.col("p") * F.col("n")).alias("w")).join(F.broadcast(total), HEAD)
 

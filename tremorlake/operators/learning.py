@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from dataclasses import dataclass
 
 from pyspark.ml import PipelineModel
@@ -10,7 +11,7 @@ from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.pipeline import Pipeline
 from pyspark.ml.regression import IsotonicRegression
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tremorlake import constants as K
@@ -21,6 +22,9 @@ from tremorlake.operators.labels import folds, time_split
 from tremorlake.operators.priors import clip
 
 
+_CALIBRATOR = "kind string, a double, b double, c double, xs array<double>, ys array<double>, trained boolean, metrics string, features array<string>"
+
+
 @dataclass
 class HeadModel:
     """Two learners, the chosen calibrator row and the validation Brier scores."""
@@ -36,7 +40,8 @@ def prepared(df: DataFrame, features: list[str]) -> DataFrame:
     return df.withColumns({c: F.nanvl(F.coalesce(F.col(c).cast("double"), F.lit(0.0)), F.lit(0.0)) for c in features})
 
 
-def fit_learners(train: DataFrame, label: str, features: list[str], rounds: int = 200) -> tuple[PipelineModel | None, PipelineModel | None]:
+def fit_learners(train: DataFrame, label: str, features: list[str], rounds: int = 200,
+                 trees: int = 200) -> tuple[PipelineModel | None, PipelineModel | None]:
     """Boosted trees and a forest, positives weighted by neg/pos; none for one class."""
     pos, n = train.agg(F.sum(label), F.count("*")).first()
     pos, n = int(pos or 0), int(n or 0)
@@ -47,7 +52,7 @@ def fit_learners(train: DataFrame, label: str, features: list[str], rounds: int
     assemble = VectorAssembler(inputCols=features, outputCol="features")
     common = {"labelCol": "label", "featuresCol": "features", "weightCol": "w", "maxDepth": 4, "seed": 42}
     boosted = GBTClassifier(maxIter=rounds, stepSize=0.08, **common)
-    forest = RandomForestClassifier(numTrees=max(20, rounds // 4), **common)
+    forest = RandomForestClassifier(numTrees=trees, **common)
     return Pipeline(stages=[assemble, boosted]).fit(data), Pipeline(stages=[assemble, forest]).fit(data)
 
 
@@ -115,6 +120,31 @@ def train_head(train: DataFrame, val: DataFrame, label: str, features: list[str]
     return HeadModel(boosted, forest, calibrator, metrics, features)
 
 
+def save_head(model: HeadModel, path: str) -> None:
+    """Store a head: both pipelines, and its calibrator as a one-row table."""
+    for name in ("boosted", "forest"):
+        if getattr(model, name) is not None:
+            getattr(model, name).write().overwrite().save(f"{path}/{name}")
+    c = model.calibrator
+    spark = SparkSession.getActiveSession()
+    spark.createDataFrame([(c["kind"], c["a"], c["b"], c["c"], c["xs"], c["ys"], model.boosted is not None, json.dumps(model.metrics), model.features)], _CALIBRATOR) \
+        .write.mode("overwrite").parquet(f"{path}/calibrator")
+
+
+def load_head(spark: SparkSession, path: str) -> HeadModel:
+    row = spark.read.schema(_CALIBRATOR).parquet(f"{path}/calibrator").first()
+    pipes = [PipelineModel.load(f"{path}/{name}") if row["trained"] else None for name in ("boosted", "forest")]
+    return HeadModel(*pipes, {k: row[k] for k in ("kind", "a", "b", "c", "xs", "ys")}, json.loads(row["metrics"]), list(row["features"]))
+
+
+def active_path(registry: DataFrame, root: str, head: str) -> str:
+    """Folder of a head of the active version; a registry without one has none."""
+    row = registry.where("is_active").orderBy("version").first()
+    if row is None:
+        raise ValueError("no version is active")
+    return f"{root}/{row['version']}/{head}"
+
+
 def score(model: HeadModel, df: DataFrame) -> DataFrame:
     """Both learners' probabilities, with the columns the model was trained on."""
     return probability(model.forest, probability(model.boosted, df, model.features, "p1"), model.features, "p2")

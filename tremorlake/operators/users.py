@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tremorlake import constants as K
 from tremorlake.operators.grid import nearest_cell
+from tremorlake.operators.scan import running_totals
 
 
 def region_tree(provinces: DataFrame, regencies: DataFrame, districts: DataFrame) -> DataFrame:
@@ -43,8 +44,9 @@ def region_paths(tree: DataFrame) -> DataFrame:
 
 def region_pages(tree: DataFrame, page_size: int = 10) -> DataFrame:
     """Children of every parent in name order with their page number."""
-    order = Window.partitionBy("parent_id").orderBy("name", "id")
-    return tree.withColumn("page", F.floor((F.row_number().over(order) - 1) / page_size).cast("int"))
+    keyed = tree.withColumns({"_one": F.lit(1).cast("bigint"), "_parent": F.coalesce("parent_id", F.lit(""))})  # roots are children of nothing
+    placed = running_totals(keyed, ["_parent"], ["name", "id"], {"_before": "_one"})
+    return placed.withColumn("page", F.floor(F.col("_before") / page_size).cast("int")).drop("_one", "_before", "_parent")
 
 
 def locate_users(users: DataFrame, regencies: DataFrame, provinces: DataFrame) -> DataFrame:

@@ -14,7 +14,6 @@ from tremorlake.plans import sqlparts as S
 from tremorlake.plans.fixtures import SNAP_COUNT, SNAP_DAYS, SNAP_START, quakes
 from tremorlake.plans.q_events import _MC
 from tremorlake.plans.registry import query
-from tremorlake.session import dimension
 
 SNAPS = X.Snapshots(SNAP_START, SNAP_COUNT, SNAP_DAYS)
 
@@ -186,6 +185,12 @@ def a11_features(spark, sf_dir):
                       r("nearest_M5_dist_km"), r("slab_depth_km"), F.lit(len(X.feature_columns())).alias("n_features"))
 
 
+@query("a11_frame")
+def a11_frame(spark, sf_dir):
+    """The whole frame: every feature of every cell and snapshot (a1 to a11 compare its parts with SQL)."""
+    return X.build_features(events(spark, sf_dir), SNAPS).select("cell_id", "k", *X.feature_columns())
+
+
 _LABELS = """buf as (select cell_no as target, other_no as cell_no from nbr union all select cell_no, cell_no from grid),
 hit as (select b.target, s.k, e.magnitude as m, epoch_us(e.time)-epoch_us(s.snapshot) as lead from quakes e join snaps s on e.time > s.snapshot and e.time <= s.snapshot + interval 60 day join buf b on b.cell_no = e.cell_no),
 lbl as materialized (select g.cell_no, g.cell_id, s.k, s.snapshot, """ + ", ".join(
@@ -204,9 +209,8 @@ def a18_positive_rates(spark, sf_dir):
 
 
 def dataset(spark, sf_dir):
-    """Features and labels of every cell and snapshot (grid-sized), built once."""
-    return dimension(spark, f"dataset-{sf_dir}", lambda s: L.join_dataset(
-        X.build_features(events(s, sf_dir), SNAPS), L.build_labels(events(s, sf_dir), SNAPS)).repartition(8))
+    """Features and labels of every cell and snapshot, all columns."""
+    return L.join_dataset(X.build_features(events(spark, sf_dir), SNAPS), L.build_labels(events(spark, sf_dir), SNAPS))
 
 
 @query("j1_dataset", S.stmt(*_BASE, S.NEIGHBORS, _LABELS, f"""c30 as (select cell_no, k, count(*) as n from win where {_d(30)} group by 1,2)

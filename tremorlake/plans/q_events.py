@@ -41,6 +41,13 @@ def d2_canonical_members(spark, sf_dir):
     return dedup.leader_clusters(quakes(spark, sf_dir))
 
 
+@query("d2_rebuild_counts", S.stmt(S.QUAKES, "select count(*) filter (where depth >= 70) as taken, count(*) filter (where depth < 70) as skipped from quakes where time between timestamp '2001-07-01' - interval 400 day and timestamp '2001-07-01'"))
+def d2_rebuild_counts(spark, sf_dir):
+    """Rows a rebuild of the last 400 days takes and skips; shallow reports have lost their magnitude."""
+    torn = quakes(spark, sf_dir).withColumn("magnitude", F.when(F.col("depth") >= 70, F.col("magnitude")))
+    return dedup.canonical_input(torn, "2001-07-01", 400)[1]
+
+
 @query("d3_canonical_id", S.stmt(S.QUAKES, """select event_id, 'ce_' || sha1(strftime(time, '%Y%m%dT%H%M%S') || ':' || printf('%.3f', lat) || ':' || printf('%.3f', lon) || ':' || printf('%.1f', magnitude)) as canonical_id from quakes"""))
 def d3_canonical_id(spark, sf_dir):
     return quakes(spark, sf_dir).select("event_id", dedup.canonical_id(F.col("time"), F.col("lat"), F.col("lon"), F.col("magnitude")).alias("canonical_id"))

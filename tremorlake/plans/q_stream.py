@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tremorlake.functions.heads import head_name
@@ -99,7 +100,6 @@ def x8_stream_limit(spark, sf_dir):
 
 def _maps(spark, sf_dir):
     """30-day maps of every archived run, numbered in issue order."""
-    from pyspark.sql import Window
     path = archive_dir(spark, sf_dir)
     order = store.archive_runs(spark, path).select(
         "forecast_run_id", F.row_number().over(Window.orderBy("issued_at")).alias("seq"))  # one row per run
@@ -124,6 +124,21 @@ def x3_alert_decisions(spark, sf_dir):
     return alerts.alert_decisions(_maps(spark, sf_dir)).select("seq", "mag_threshold", "reason", "alert")
 
 
+@query("x3_x4_alert_chain", S.stmt(S.QUAKES, S.GRID, RUNS_SQL, _PROFILE, _DECIDE, """
+iss as (select row_number() over (order by issued_at) as seq, issued_at from issues),
+al as (select issued_at, string_agg(printf('%.1f', mag_threshold) || ':' || reason, ',' order by printf('%.1f', mag_threshold) || ':' || reason) as reasons from dec join iss using (seq)
+  where reason not in ('below_threshold','baseline_snapshot_created','no_significant_change') group by 1),
+f(sent_at) as (select min(issued_at) from al union all select (select min(issued_at) from al where issued_at >= f.sent_at + interval 1440 minute) from f where f.sent_at is not null)""",
+       "select sent_at, reasons from f join al on issued_at = sent_at", recursive=True))
+def x3_x4_alert_chain(spark, sf_dir):
+    """Decisions of all thresholds, combined per run, sent under one cool-down of a day."""
+    runs = store.archive_runs(spark, archive_dir(spark, sf_dir)).select("issued_at").distinct()
+    issued = runs.select(F.row_number().over(Window.orderBy("issued_at")).alias("seq"), "issued_at")  # one row per run
+    asked = alerts.combined_alerts(alerts.alert_decisions(_maps(spark, sf_dir)), issued).checkpoint()
+    sent = flows.to_table(flows.cooled_alerts(_as_stream(asked.select("key", "time"), "asked", "time"), 1440), "sent")
+    return sent.join(asked, F.col("sent_at") == F.col("time")).select(*ntz("sent_at"), "reasons")
+
+
 @query("j14_top_cell_event", S.stmt(S.QUAKES, S.PUBLIC, f"""top as (select f.cell_no, a.cell_id, a.lat as clat, a.lon as clon from fc f join areas a using (cell_no) where horizon_days=30 and mag_threshold=5 order by probability desc, a.cell_id limit 1),
 l as (select * from quakes where magnitude >= 45e-1 and time between timestamp '2001-07-01' - interval 7 day and timestamp '2001-07-01'), d as (select cell_id, event_id, magnitude, -epoch_us(time) as late, {S.hav_atan2('clat', 'clon', 'lat', 'lon')} as dist_km from top, l)
 select cell_id, round(min(dist_km), 6) as dist_km, arg_min(event_id, (dist_km, late, event_id)) as event_id, arg_min(magnitude, (dist_km, late, event_id)) as magnitude from d where dist_km <= 2000 group by 1"""))
@@ -132,6 +147,14 @@ def j14_top_cell_event(spark, sf_dir):
     return alerts.top_cell_event(quakes(spark, sf_dir), top, "2001-07-01", 2000.0).select("cell_id", F.round("dist_km", 6).alias("dist_km"), "event_id", "magnitude")
 
 
+@query("x5_daily_top", S.stmt(S.QUAKES, S.PUBLIC, """t as (select a.cell_id, full_label, probability, row_number() over (order by probability desc, a.cell_id) as place from fc f join areas a using (cell_no) where horizon_days=30 and mag_threshold=5)
+select cast(place as int) as place, cell_id, full_label, probability, '2001-07-01' as day from t where place <= 10"""))
+def x5_daily_top(spark, sf_dir):
+    """The ten likeliest cells that head every daily report."""
+    top = serving.top_forecasts(geology.area_labels(spark), current(spark, sf_dir), n=10)
+    return top.select(F.row_number().over(Window.orderBy(F.desc("probability"), "cell_id")).alias("place"), "cell_id", "full_label", "probability", F.lit("2001-07-01").alias("day"))
+
+
 @query("x5_daily_report", S.stmt(S.QUAKES, S.PUBLIC, """us as (select c_custkey as chat_id, (c_custkey*7919 % 17000 - 11000)/1e3 as lat, (c_custkey*104729 % 46000 + 95000)/1e3 as lon from customer where c_acctbal >= 0
   and c_custkey not in (select o_custkey from orders where o_orderpriority like '1%') and c_custkey % 5 <> 0),
 pk as (select u.chat_id, arg_min(g.cell_no, round(pow(g.lat-u.lat,2)+pow(g.lon-u.lon,2), 9)*1e4 + g.cell_no*1e-7) as cell_no from us u join grid g on abs(g.lat-u.lat) <= 1 and abs(g.lon-u.lon) <= 1 group by 1)

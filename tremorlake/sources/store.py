@@ -75,6 +75,10 @@ def overwrite_table(df: DataFrame, path: str) -> int:
 
 # --- forecast archive ---------------------------------------------------------------
 
+#: Beside the archive, a table with a row for each run, so that listing runs reads no maps.
+RUN_TABLE, RUN_ROW = ".runs", "issued_date date, run string, forecast_run_id string, baseline_type string, cells bigint"
+
+
 def safe_version(version: str | None) -> str:
     if not version:
         return "unknown"
@@ -97,8 +101,11 @@ def archive_run(forecast: DataFrame, path: str, issued_at: datetime, version: st
         "model_version": F.lit(version or "unknown"), "baseline_type": F.lit(baseline_type)})
     for attempt in itertools.count():
         folder = f"{issued_at:%H%M%S}Z_{safe_version(version)}" + (f"_{attempt:02d}" if attempt else "")
+        seen = Observation()
         try:
-            out.write.mode("errorifexists").parquet(f"{path}/issued_date={issued_at:%Y-%m-%d}/run={folder}")
+            out.observe(seen, F.count(F.lit(1)).alias("n")).write.mode("errorifexists").parquet(f"{path}/issued_date={issued_at:%Y-%m-%d}/run={folder}")
+            row = (issued_at.date(), folder, run_id, baseline_type, int(seen.get["n"]))
+            out.sparkSession.createDataFrame([row], RUN_ROW).withColumn("issued_at", F.lit(issued_at.isoformat(sep=" ")).cast("timestamp")).write.mode("append").parquet(f"{path}{RUN_TABLE}")
             return run_id
         except AnalysisException as exc:
             if "PATH_ALREADY_EXISTS" not in str(exc):
@@ -112,7 +119,8 @@ def archive(spark: SparkSession, path: str) -> DataFrame:
 
 def read_run(spark: SparkSession, path: str, day: str, run_id: str | None = None) -> DataFrame:
     """The latest run of a day, or the run asked for; only that day's folder is read."""
-    runs = archive(spark, path).where(F.col("issued_date") == F.lit(day).cast("date"))
+    runs = (spark.read.option("mergeSchema", "true").option("basePath", path).parquet(f"{path}/issued_date={day}")
+            .withColumn("issued_date", F.col("issued_date").cast("date")))
     if run_id is not None:
         return runs.where(F.col("forecast_run_id") == run_id)
     last = runs.agg(F.max("run").alias("run"))
@@ -120,7 +128,9 @@ def read_run(spark: SparkSession, path: str, day: str, run_id: str | None = None
 
 
 def archive_runs(spark: SparkSession, path: str) -> DataFrame:
-    """One row per archived run."""
+    """One row per archived run, from the table of runs; an archive without one is read through."""
+    if exists(spark, f"{path}{RUN_TABLE}"):
+        return spark.read.parquet(f"{path}{RUN_TABLE}")
     return archive(spark, path).groupBy("issued_date", "run").agg(
         F.first("forecast_run_id").alias("forecast_run_id"), F.first("issued_at_utc").alias("issued_at"),
         F.coalesce(F.first("baseline_type"), F.lit("unknown")).alias("baseline_type"), F.count("*").alias("cells"))
