@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tremorlake.llm.common import map_batches, stored
+from tremorlake.llm.common import map_batches, small_batches, stored
 from tremorlake.llm.text_scan import LETTER, Block, cut_long, grouped, lower_points, words
 
 FIT_ROWS = 20_000  #: documents with a language used to fit, in the order of a hash of their id
@@ -85,9 +85,9 @@ class Model:
         at = np.flatnonzero(scan.letter)
         e = scan.per_word(self.grams[scan.grams[at]]) + self.words[scan.word]
         e[scan.letters == 0] = 0
-        if len(e):
-            script = scan.per_word((script_table()[scan.block.cp[at]][:, None] == np.arange(len(SCRIPT_NAMES))).astype(np.int32)).argmax(1)
-            allowed = self.uses[script]
+        if len(at):
+            first = np.minimum(np.concatenate([[0], np.cumsum(scan.letters)])[:-1], len(at) - 1)
+            allowed = self.uses[script_table()[scan.block.cp[at[first]]]]  # by the word's first letter
             e = np.where(allowed | ~allowed.any(1, keepdims=True) | (scan.letters == 0)[:, None], np.maximum(e - np.where(allowed, e, -1e9).max(1, keepdims=True), FLOOR), OUTSIDE)
             e[scan.letters == 0] = 0
         return e.astype(np.float32)
@@ -176,6 +176,7 @@ def fit(docs: DataFrame, eligible: Column | None = None, rows: int = FIT_ROWS) -
         known = known.where(eligible)
     chosen = known.select("doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows).distinct()
     sample = stored(known.select("doc_id", "lang", "text").join(F.broadcast(chosen), "doc_id").select("lang", "text").repartition(8), "sample")
+    small_batches(docs.sparkSession)
     languages = sorted(r[0] for r in sample.select("lang").distinct().collect())
 
     def counts(batches):
@@ -216,15 +217,17 @@ def identify(docs: DataFrame, model: Model, keep: list[str] | None = None, names
     A text that is null or has no letter is ``und`` with score 0 and no spans.
     """
     columns = docs.columns if keep is None else keep
-    held = docs.select(*[F.col(c).alias(f"c{i}") for i, c in enumerate(columns)], F.when(F.col("text").rlike(r"\p{L}"), F.col("text")).alias("_text"))
+    told = F.col("text").rlike(r"\p{L}")
+    held = docs.select(*[F.col(c).alias(f"c{i}") for i, c in enumerate(columns)], *[] if "text" in columns else [F.col("text").alias("_text")], told.alias("_told"))
+    at = columns.index("text") if "text" in columns else len(columns)
     kind = "array<struct<lang:string,start:bigint,end:bigint>>"
 
     def of(b: pa.RecordBatch) -> pa.RecordBatch:
-        got = label(b.column("_text").to_pylist(), model)
+        got = label([t if told else None for t, told in zip(b.column(at).to_pylist(), b.column("_told").to_pylist())], model)
         spans = pa.array([[{"lang": x[0], "start": x[1], "end": x[2]} for x in g[2]] for g in got],
                          pa.list_(pa.struct([("lang", pa.string()), ("start", pa.int64()), ("end", pa.int64())])))
-        return pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array([g[0] for g in got], pa.string()), pa.array([g[1] for g in got], pa.float64()), spans],
-                                          names=[*b.schema.names[:-1], "_l", "_s", "_p"])
+        return pa.RecordBatch.from_arrays([*b.columns[:len(columns)], pa.array([g[0] for g in got], pa.string()), pa.array([g[1] for g in got], pa.float64()), spans],
+                                          names=[*b.schema.names[:len(columns)], "_l", "_s", "_p"])
 
-    schema = ", ".join([*(f"{f.name} {f.dataType.simpleString()}" for f in held.drop("_text").schema), f"_l string, _s double, _p {kind}"])
+    schema = ", ".join([*(f"{f.name} {f.dataType.simpleString()}" for f in held.drop("_text", "_told").schema), f"_l string, _s double, _p {kind}"])
     return map_batches(held, of, schema).select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(columns)], F.col("_l").alias(names[0]), F.col("_s").alias(names[1]), F.col("_p").alias(names[2]))

@@ -20,7 +20,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tremorlake.llm.common import map_batches, stored, tokenizer_file
+from tremorlake.llm.common import map_batches, small_batches, stored, tokenizer_file
 from tremorlake.llm.fast_encode import encoder
 
 CAPACITY, TOKENIZER, END_ID = 2048, "byte_bpe_50k.json", 0
@@ -194,6 +194,7 @@ def pieces(docs: DataFrame, capacity: int = CAPACITY, tokenizer: str = TOKENIZER
                                               pa.array(crc, pa.int64()), pa.array(np.full(len(row), part)), pa.array(nth)],
                                              names=[keep, "piece", "start", "length", "ids_crc32", "part", "nth"])
 
+    small_batches(docs.sparkSession)
     kind = dict(docs.dtypes)[keep]
     return docs.select(F.col(keep).alias("_key"), F.coalesce("text", F.lit("")).alias("_text")).mapInArrow(
         run, f"`{keep}` {kind}, piece int, start bigint, length bigint, ids_crc32 bigint, part bigint, nth bigint")

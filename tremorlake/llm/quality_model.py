@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tremorlake.llm.common import map_batches, stored
+from tremorlake.llm.common import map_batches, small_batches, stored
 from tremorlake.llm.text_scan import Block, LETTER, OTHER, cut_long, grouped, lower_points, spans_without_space
 
 FIT_ROWS = 20_000  #: labelled rows used to fit, taken in the order of a hash of their id
@@ -176,6 +176,7 @@ def fit(docs: DataFrame, labels: DataFrame, eligible: Column | None = None, rows
     known = known.groupBy("doc_id").agg((F.avg("_y") >= 0.5).cast("int").alias("_y"))
     chosen = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
     sample = stored(docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(chosen), "doc_id").repartition(8, "doc_id"), "sample")
+    small_batches(docs.sparkSession)
     index = index_vectors()
 
     def contexts(batches):
@@ -214,12 +215,13 @@ def score(docs: DataFrame, model: Model, keep: list[str] | None = None, name: st
     Null and empty texts get the score of a document without words.
     """
     columns = docs.columns if keep is None else keep
-    held = docs.select(*[F.col(c).alias(f"c{i}") for i, c in enumerate(columns)], F.coalesce(F.col("text"), F.lit("")).alias("_text"))
+    held = docs.select(*[F.col(c).alias(f"c{i}") for i, c in enumerate(columns)], *[] if "text" in columns else [F.col("text").alias("_text")])
     kinds = held.drop("_text").schema
+    at = columns.index("text") if "text" in columns else len(columns)
 
     def of(b: pa.RecordBatch) -> pa.RecordBatch:
-        names = b.schema.names[:-1]
-        return pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(model.score(b.column("_text").to_pylist()))], names=[*names, "_score"])
+        names = b.schema.names[:len(columns)]
+        return pa.RecordBatch.from_arrays([*b.columns[:len(columns)], pa.array(model.score(b.column(at).to_pylist()))], names=[*names, "_score"])
 
     out = map_batches(held, of, ", ".join([*(f"{f.name} {f.dataType.simpleString()}" for f in kinds), "_score double"]))
     return out.select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(columns)], F.col("_score").alias(name))

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tremorlake.llm.common import stored, tokenizer_file
+from tremorlake.llm.common import small_batches, stored, tokenizer_file
 from tremorlake.llm.text_scan import Block, cut_long, distinct, first_gap, grouped, last_gap, spans_with_space
 
 TOKENIZER, LIMIT = "byte_bpe_50k.json", 1024
@@ -221,6 +221,7 @@ def count_tokens(docs: DataFrame, tokenizer: str = TOKENIZER, limit: int = LIMIT
     Texts of one chunk are counted where they lie. Longer ones are dealt out by chunk, and
     their maps are composed per row; repeated rows are rows of their own.
     """
+    small_batches(docs.sparkSession)
     kind = dict(docs.dtypes)[keep]
     text = F.coalesce("text", F.lit(""))
     rows = docs.select(F.col(keep).alias("_key"), text.alias("_text"), F.octet_length(text).cast("bigint").alias("n_bytes"))

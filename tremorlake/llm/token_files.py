@@ -22,7 +22,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tremorlake.llm.common import stored, tokenizer_file
+from tremorlake.llm.common import small_batches, stored, tokenizer_file
 from tremorlake.llm.fast_encode import encoder
 from tremorlake.session import scratch_path, shuffle_width
 
@@ -74,6 +74,7 @@ def write(docs: DataFrame, folder: str, tokenizer: str = TOKENIZER, end_id: int
                 ids_written += int(size.sum())
         yield pa.RecordBatch.from_pydict({"part": pa.array([part], pa.int32()), "name": [name], "width": [width], "docs": pa.array([docs_written]), "ids": pa.array([ids_written])})
 
+    small_batches(docs.sparkSession)
     width = parts or shuffle_width(docs.sparkSession)
     ordered = (docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.coalesce("text", F.lit("")).alias("_text"))
                .repartitionByRange(width, F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first()))
