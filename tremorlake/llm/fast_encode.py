@@ -17,7 +17,7 @@ import numpy as np
 
 from tremorlake.llm.text_scan import LETTER, Block, cut_long, distinct, grouped, spans_with_space, spans_without_space
 
-MEMO_SPANS = 1_000_000  #: distinct spans a worker remembers before it starts anew
+MEMO_SPANS = 350_000  #: distinct spans a worker remembers before it starts anew
 RUN_WORDS = 500  #: plain words that go to the library in one string
 
 

@@ -15,7 +15,7 @@ import numpy as np
 import pandas as pd
 import regex
 
-BLOCK = 1 << 20
+BLOCK = 1 << 19
 OTHER, LETTER, NUMBER, SPACE, SEP = 0, 1, 2, 3, 4
 # The code points of Unicode's White_Space property.
 WHITE = "\t-\r \x85\xa0  -     　"
@@ -63,7 +63,7 @@ class Block:
 
     def hashes(self, starts: np.ndarray, ends: np.ndarray, values: np.ndarray | None = None) -> np.ndarray:
         """A 64-bit hash of each span, equal for equal spans."""
-        n = 1 << int(np.ceil(np.log2(max(len(self.cp), BLOCK))))
+        n = 1 << int(np.ceil(np.log2(max(len(self.cp), BLOCK, 2))))
         up, down = _powers(n)
         total = np.zeros(len(self.cp) + 1, np.uint64)
         np.cumsum(((self.cp if values is None else values).astype(np.uint64) + np.uint64(1)) * up[: len(self.cp)], out=total[1:])
