@@ -20,6 +20,7 @@ from tremorlake.operators.ensemble import calibrated, logit
 from tremorlake.operators.features import feature_columns
 from tremorlake.operators.labels import folds, time_split
 from tremorlake.operators.priors import clip
+from tremorlake.session import scratch_path
 
 
 _CALIBRATOR = "kind string, a double, b double, c double, xs array<double>, ys array<double>, trained boolean, metrics string, features array<string>"
@@ -53,7 +54,15 @@ def fit_learners(train: DataFrame, label: str, features: list[str], rounds: int
     common = {"labelCol": "label", "featuresCol": "features", "weightCol": "w", "maxDepth": 4, "seed": 42}
     boosted = GBTClassifier(maxIter=rounds, stepSize=0.08, **common)
     forest = RandomForestClassifier(numTrees=trees, **common)
-    return Pipeline(stages=[assemble, boosted]).fit(data), Pipeline(stages=[assemble, forest]).fit(data)
+    return _stored(Pipeline(stages=[assemble, boosted]).fit(data), "boosted"), _stored(Pipeline(stages=[assemble, forest]).fit(data), "forest")
+
+
+def _stored(model: PipelineModel, name: str) -> PipelineModel:
+    """The model as read back from the shared folder. A freshly fitted forest keeps a summary
+    that refers to the session, which cannot travel to workers; a stored one does not."""
+    path = scratch_path(SparkSession.getActiveSession(), f"learner-{name}")
+    model.write().save(path)
+    return PipelineModel.load(path)
 
 
 def probability(model: PipelineModel | None, df: DataFrame, features: list[str], name: str) -> DataFrame:
