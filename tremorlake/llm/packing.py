@@ -20,7 +20,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tremorlake.llm.common import map_batches, small_batches, stored, tokenizer_file
+from tremorlake.llm.common import map_batches, small_batches, stored, tidy, tokenizer_file
 from tremorlake.llm.fast_encode import encoder
 
 CAPACITY, TOKENIZER, END_ID = 2048, "byte_bpe_50k.json", 0
@@ -193,6 +193,8 @@ def pieces(docs: DataFrame, capacity: int = CAPACITY, tokenizer: str = TOKENIZER
             yield pa.RecordBatch.from_arrays([batch.column("_key").take(pa.array(row)), pa.array(piece, pa.int32()), pa.array(start), pa.array(length),
                                               pa.array(crc, pa.int64()), pa.array(np.full(len(row), part)), pa.array(nth)],
                                              names=[keep, "piece", "start", "length", "ids_crc32", "part", "nth"])
+            del batch, flat
+            tidy()
 
     small_batches(docs.sparkSession)
     kind = dict(docs.dtypes)[keep]

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tremorlake.llm.common import small_batches, stored, tokenizer_file
+from tremorlake.llm.common import small_batches, stored, tidy, tokenizer_file
 from tremorlake.llm.text_scan import Block, cut_long, distinct, first_gap, grouped, last_gap, spans_with_space
 
 TOKENIZER, LIMIT = "byte_bpe_50k.json", 1024
@@ -231,6 +231,8 @@ def count_tokens(docs: DataFrame, tokenizer: str = TOKENIZER, limit: int = LIMIT
         for b in batches:
             n = c.finish(c.maps(b.column("_text").to_pylist()))
             yield pa.RecordBatch.from_arrays([b.column("_key"), b.column("n_bytes"), pa.array(n)], names=[keep, "n_bytes", "n_tokens"])
+            del b
+            tidy()
 
     few = rows.where(F.length("_text") <= CHUNK).mapInArrow(short, f"`{keep}` {kind}, n_bytes bigint, n_tokens bigint")
     many = stored(rows.where(F.length("_text") > CHUNK).withColumn("_row", F.expr("uuid()")), "long")

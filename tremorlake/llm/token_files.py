@@ -22,7 +22,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tremorlake.llm.common import small_batches, stored, tokenizer_file
+from tremorlake.llm.common import small_batches, stored, tidy, tokenizer_file
 from tremorlake.llm.fast_encode import encoder
 from tremorlake.session import scratch_path, shuffle_width
 
@@ -72,6 +72,8 @@ def write(docs: DataFrame, folder: str, tokenizer: str = TOKENIZER, end_id: int
                 key.write(batch.column("doc_id").fill_null(NULL_KEY).to_numpy().astype("<i8").tobytes())
                 docs_written += len(size)
                 ids_written += int(size.sum())
+                del batch, flat
+                tidy()
         yield pa.RecordBatch.from_pydict({"part": pa.array([part], pa.int32()), "name": [name], "width": [width], "docs": pa.array([docs_written]), "ids": pa.array([ids_written])})
 
     small_batches(docs.sparkSession)
