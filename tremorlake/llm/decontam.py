@@ -29,7 +29,7 @@ _MIX = np.uint64(0xC2B2AE3D27D4EB4F)
 
 def word_hashes(block: Block) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(starts, ends, hashes) of runs of letters and digits, case folded."""
-    full = np.isin(block.cls, (LETTER, NUMBER)).astype(np.int8)
+    full = ((block.cls == LETTER) | (block.cls == NUMBER)).astype(np.int8)
     edge = np.diff(np.concatenate([[0], full, [0]]))
     starts, ends = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
     return starts, ends, block.hashes(starts, ends, lower_points()[block.cp])
@@ -84,6 +84,7 @@ class Items:
     first: np.ndarray
     size: np.ndarray
     pairs: np.ndarray
+    marks: np.ndarray  # low bits of the known pairs, to pass over most others at once
     keys: np.ndarray
     key_items: np.ndarray
 
@@ -101,6 +102,8 @@ class Items:
         h = np.concatenate([*hashes, np.zeros(0, np.uint64)])
         # A pair is known as a pair of some item; an item of one word is known by the word.
         pairs = np.unique(np.concatenate([*[pair_hashes(x) if len(x) > 1 else x for x in hashes], np.zeros(0, np.uint64)]))
+        marks = np.zeros(1 << 20, bool)
+        marks[pairs & np.uint64(len(marks) - 1)] = True
         keys, owners = [], []
         for steps in sorted({horizon(int(m)) for m in size}):
             mine = np.array([i for i, m in enumerate(size) if horizon(int(m)) == steps])
@@ -109,7 +112,15 @@ class Items:
                 owners.append(mine)
         key, owner = np.concatenate([*keys, np.zeros(0, np.uint64)]), np.concatenate([*owners, np.zeros(0, np.int64)])
         order = np.argsort(key, kind="stable")
-        return cls(ids, h, first, size, pairs, key[order], owner[order].astype(np.int64))
+        return cls(ids, h, first, size, pairs, marks, key[order], owner[order].astype(np.int64))
+
+    def known(self, hashes: np.ndarray) -> np.ndarray:
+        """Which of the hashes are pairs (or single words) of some item."""
+        out = self.marks[hashes & np.uint64(len(self.marks) - 1)]
+        maybe = np.flatnonzero(out)
+        at = np.minimum(np.searchsorted(self.pairs, hashes[maybe]), len(self.pairs) - 1)
+        out[maybe] = self.pairs[at] == hashes[maybe]
+        return out
 
     def words(self, i: int) -> list[int]:
         return self.h[self.first[i]:self.first[i] + self.size[i]].tolist()
@@ -157,13 +168,9 @@ def candidate_starts(items: Items, h: np.ndarray, last: np.ndarray, begin: np.nd
     """
     known = np.zeros(len(h), bool)
     if len(h) > 1:
-        p = pair_hashes(h)
-        at = np.minimum(np.searchsorted(items.pairs, p), len(items.pairs) - 1)
-        known[:-1] = (items.pairs[at] == p) & (last[:-1] > np.arange(1, len(h)))
-    single = bool((items.size == 1).any())
-    if single:
-        at = np.minimum(np.searchsorted(items.pairs, h), len(items.pairs) - 1)
-        known |= items.pairs[at] == h
+        known[:-1] = items.known(pair_hashes(h)) & (last[:-1] > np.arange(1, len(h)))
+    if (items.size == 1).any():
+        known |= items.known(h)
     at = np.flatnonzero(known)
     if not len(at):
         return at
@@ -205,7 +212,10 @@ def search_block(items: Items, h: np.ndarray, begin: np.ndarray, last: np.ndarra
         stretches = [(low, high)] if open_item >= 0 else []
         while stretches:  # the best find, then what lies left and right of it
             left, right = stretches.pop()
-            edits, a, b = best_match(items.words(open_item), h[left:right].tolist())
+            words, text = items.words(open_item), h[left:right].tolist()
+            if len(words) - sum(map(set(text).__contains__, words)) > limit(len(words)):
+                continue  # each word that is missing costs an edit
+            edits, a, b = best_match(words, text)
             if edits <= limit(int(items.size[open_item])):
                 out.append((open_item, left + a, left + b, edits))
                 stretches += [(left, left + a), (left + b, right)]
