@@ -87,5 +87,6 @@ def time_split(dataset: DataFrame, train_end_year: int = 2020, val_end_year: int
 
 
 def folds(dataset: DataFrame, keys: list[str], n: int = 3, seed: int = 42) -> DataFrame:
-    """Reproducible fold per key, independent of partitioning."""
-    return dataset.withColumn("fold", F.pmod(F.xxhash64(F.lit(seed), *keys), F.lit(n)).cast("int"))
+    """Reproducible fold per key, independent of partitioning: the first eight digits of a sha1."""
+    digest = F.sha1(F.concat_ws(":", F.lit(str(seed)), *[F.col(k).cast("string") for k in keys]))
+    return dataset.withColumn("fold", (F.conv(F.substring(digest, 1, 8), 16, 10).cast("bigint") % n).cast("int"))

@@ -232,7 +232,9 @@ def b4_time_split(spark, sf_dir):
     return out.join(total.withColumn("one", F.lit(1)), "one").drop("one")
 
 
-@query("b5_folds")
+@query("b5_folds", S.stmt(S.QUAKES, S.GRID, S.SNAPS, S.NEIGHBORS, _LABELS, """
+f as (select cast(('0x' || substr(sha1('42:' || cell_no || ':' || k), 1, 8))::bigint % 3 as int) as fold, label_h30_m50 from lbl)
+select fold, count(*) as n, sum(label_h30_m50) as positives from f group by 1"""))
 def b5_folds(spark, sf_dir):
     return L.folds(L.build_labels(events(spark, sf_dir), SNAPS), ["cell_no", "k"]).groupBy("fold").agg(
         F.count("*").alias("n"), F.sum("label_h30_m50").alias("positives"))
