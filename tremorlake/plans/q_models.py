@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tremorlake import constants as K
-from tremorlake.operators import ensemble, etas, grid, learning, priors
+from tremorlake.operators import ensemble, etas, geology, grid, learning, priors, serving
 from tremorlake.plans import sqlparts as S
 from tremorlake.plans.fixtures import AS_OF, quakes
 from tremorlake.plans.q_dataset import dataset
@@ -72,6 +72,15 @@ def m20_etas_forecast(spark, sf_dir):
     return grid.with_cell_id(etas.forecast(etas.rate_field(past, t_end, P0), b_value=b)).select("cell_id", "horizon_days", "mag_threshold", r("p", 9))
 
 
+@query("m16_forecast_etas")
+def m16_forecast_etas(spark, sf_dir):
+    """The aftershock tier of a run: the m20 frame (compared with SQL there), made monotone and tagged."""
+    past, t_end = _past(spark, sf_dir)
+    frame = etas.forecast(etas.rate_field(past, t_end, P0))
+    out, mode, tag = serving.run_forecast(events(spark, sf_dir), geology.area_labels(spark), AS_OF, etas=frame)
+    return grid.with_cell_id(out).select("cell_id", "horizon_days", "mag_threshold", r("probability", 9), F.lit(mode).alias("mode"), F.lit(tag).alias("baseline_type"))
+
+
 _DECAY = f"""ref as (select event_id as name, time as rt, lat as rlat, lon as rlon from quakes where time >= timestamp '2000-06-01' order by magnitude desc, event_id limit 3),
 p as (select name, magnitude as m, epoch_us(rt-time)/864e8 as age, {S.hav('rlat', 'rlon', 'lat', 'lon')} as d from ref join quakes on time <= rt and time >= rt - interval 1825 day),
 dy as (select name, dd as day, (sum(least(95e-2, 2e-2*exp(15e-1*(m-45e-1))*pow(age+dd+1e-2, -11e-1)*(5e-1/(pi()*pow(2e0*exp(5e-1*(m-45e-1)),2)))*pow(1+pow(d/(2e0*exp(5e-1*(m-45e-1))),2), -15e-1))) + 5e-2/75e5)*2500 as rate from p, range(1, 61) x(dd) group by 1,2)"""

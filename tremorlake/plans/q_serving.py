@@ -148,13 +148,18 @@ def m16_forecast_run(spark, sf_dir):
 
 
 @query("m16_forecast_demo", S.stmt(S.QUAKES, S.HEADS, S.AREAS, """
-d as (select cell_id, horizon_days, mag_threshold, least(95e-2, 1-exp(-(3e-1*pow(1e1, -(mag_threshold-45e-1))*(horizon_days/365e0)
+n as (select cell_no, count(*) as n from quakes where cell_no is not null group by 1),
+d as (select cell_no, cell_id, horizon_days, mag_threshold, least(95e-2, 1-exp(-(3e-1*pow(1e1, -(mag_threshold-45e-1))*(horizon_days/365e0)
  *exp(-nearest_fault_km/75e0)*case fault_type when 'subduction' then 15e-1 when 'transform' then 1e0 else 7e-1 end))) as p from areas, heads)
-select cell_id, horizon_days, mag_threshold, round(p, 9) as probability, 'demo_seed' as mode from d where (select count(*) from quakes) > 0"""))
+select cell_id, horizon_days, mag_threshold, round(p, 9) as probability, 'demo_seed' as mode, cast(coalesce(n, 0) as bigint) as cell_events from d left join n using (cell_no)"""))
 def m16_forecast_demo(spark, sf_dir):
-    out, mode, _ = serving.run_forecast(events(spark, sf_dir), geology.area_labels(spark), AS_OF, force_demo=True)
-    return grid.with_cell_id(out).select("cell_id", "horizon_days", "mag_threshold",
-                                         F.round("probability", 9).alias("probability"), F.lit(mode).alias("mode"))
+    """The fault prior beside the number of events that each cell already has."""
+    quakes_in = events(spark, sf_dir)
+    out, mode, _ = serving.run_forecast(quakes_in, geology.area_labels(spark), AS_OF, force_demo=True)
+    seen = quakes_in.where("cell_no is not null").groupBy("cell_no").agg(F.count("*").alias("n"))
+    return grid.with_cell_id(out.join(seen, "cell_no", "left")).select(
+        "cell_id", "horizon_days", "mag_threshold", F.round("probability", 9).alias("probability"), F.lit(mode).alias("mode"),
+        F.coalesce("n", F.lit(0)).cast("bigint").alias("cell_events"))
 
 
 @query("w7_monotone", S.stmt(S.QUAKES, S.PUBLIC, """
