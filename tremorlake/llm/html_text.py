@@ -1,7 +1,8 @@
 """Main text of web pages by block rules in two passes.
 
 Pass one looks at each block alone: marked-up boilerplate and links make it bad, length and
-the density of stop words make it good, and the rest stays open. Pass two lets open blocks
+the density of stop words make it good, and the rest stays open. Where the stop words say
+nothing (other scripts, other languages) length with few links makes it good. Pass two lets open blocks
 inherit the label of their nearest decided neighbours, those of their own section first.
 """
 
@@ -37,6 +38,8 @@ _ATTRIBUTE = re.compile(r"""(?:^|\s)(class|id|role|hidden|aria-hidden|style)(?:\
 _HINT = re.compile(r"""(?:^|[\s_-])(?:ads?|adverts?|advertisement|advertising|sponsor|sponsored|promo|promotion|banner|cookies?|consent|notice|notification|popup|modal|overlay|
     newsletter|subscribe|subscription|signup|share|sharing|social|related|recommended|sidebar|widget|menu|navbar|nav|navigation|breadcrumbs?|footer|masthead|
     comments?|commentlist|respond|replies|disqus|login|search|toolbar|pagination|pager|skip|disclaimer|hidden)(?:[\s_-]|$)""", re.I | re.X)
+#: Parts of class names that tell of a page's state, as in has-sidebar or comments-open, not of an element's role.
+_STATE, _STATE_END = frozenset("has with without no".split()), frozenset("open closed enabled disabled active on off".split())
 _ROLE = re.compile(r"^(navigation|banner|contentinfo|complementary|search|form|dialog|alert|menu|menubar)$", re.I)
 _HEADER = re.compile(r"(?:^|[\s_-])header(?:[\s_-]|$)", re.I)
 BAD_TAGS = frozenset("nav footer aside form button menu dialog head label fieldset".split())
@@ -46,6 +49,16 @@ BREAKS = CONTAINERS | frozenset("p li dt dd h1 h2 h3 h4 h5 h6 pre tr td th capti
 SECTIONS = frozenset("article main aside nav header footer section form".split())
 
 
+def _names(value: str) -> str:
+    """The class names of an attribute without those that only tell of a page's state."""
+    keep = []
+    for name in value.split():
+        parts = re.split("[_-]+", name.lower())
+        if not (len(parts) > 1 and (_STATE & set(parts) or parts[-1] in _STATE_END)):
+            keep.append(name)
+    return " ".join(keep)
+
+
 def _marked(tag: str, attributes: str, inside_main: bool) -> bool:
     """Whether markup says that an element is not part of the article."""
     if tag in BAD_TAGS or (tag == "header" and not inside_main):
@@ -53,7 +66,8 @@ def _marked(tag: str, attributes: str, inside_main: bool) -> bool:
     for name, value in _ATTRIBUTE.findall(attributes):
         name, value = name.lower(), value.strip("\"'")
         if name in ("class", "id"):
-            if _HINT.search(value) or (not inside_main and _HEADER.search(value)):
+            named = _names(value)
+            if _HINT.search(named) or (not inside_main and _HEADER.search(named)):
                 return tag not in ("body", "html", "article", "main")
         elif name == "role" and _ROLE.match(value):
             return True
@@ -128,15 +142,51 @@ class _Blocks:
             self.stack.append((tag, marked or own, main or tag in MAIN_TAGS, section))
 
 
-def _first_pass(text: str, links: int, marked: bool, main: bool) -> int:
+_WIDE = re.compile("[\u3000-\u30ff\u3400-\u9fff\uac00-\ud7af\uff00-\uffef\U00020000-\U0003ffff]")
+_LATIN = re.compile("[A-Za-z\u00c0-\u024f\u1e00-\u1eff]")
+LISTED = 0.2  #: share of a page's Latin-script text in blocks full of stop words from which on its language counts as listed
+
+
+def _size(text: str) -> int:
+    """Characters, where one of Chinese, Japanese or Korean counts as three."""
+    return len(text) if text.isascii() else len(text) + 2 * len(_WIDE.findall(text))
+
+
+def _latin(text: str) -> bool:
+    """Whether most letters are Latin."""
+    return text.isascii() or 2 * len(_LATIN.findall(text)) >= sum(map(str.isalpha, text))
+
+
+def _density(text: str) -> float:
+    words = text.lower().split()
+    return sum(w.strip(".,;:!?\"'()") in STOP_WORDS for w in words) / len(words)
+
+
+def _link_dense(text: str, links: int) -> bool:
+    return links > MANY_LINKS * len(text)
+
+
+def _unlisted(blocks: list) -> bool:
+    """Whether the Latin-script text of a page is in a language without stop words in the list."""
+    total = prose = 0
+    for text, links, marked, *_ in blocks:
+        if not marked and len(text) >= SHORT and not _link_dense(text, links) and _latin(text):
+            total += len(text)
+            prose += len(text) * (_density(text) >= STOP_HIGH)
+    return prose < LISTED * total
+
+
+def _first_pass(text: str, links: int, marked: bool, main: bool, unlisted: bool = False) -> int:
     """1 good, -1 bad, 0 open."""
-    if marked or links > MANY_LINKS * len(text):
+    if marked or _link_dense(text, links):
         return -1
-    if len(text) < SHORT:
+    size = _size(text)
+    if size < SHORT:
         return 0
-    words = text.lower().split()
-    density = sum(w.strip(".,;:!?\"'()") in STOP_WORDS for w in words) / len(words)
-    if density >= STOP_HIGH and (len(text) >= LONG or main):
+    if unlisted or not _latin(text):
+        return 1 if size >= LONG or main else 0
+    density = _density(text)
+    if density >= STOP_HIGH and (size >= LONG or main):
         return 1
     if density >= STOP_LOW or main:
         return 0
@@ -144,19 +194,24 @@ def _first_pass(text: str, links: int, marked: bool, main: bool) -> int:
 
 
 def _second_pass(blocks: list, labels: list[int]) -> list[bool]:
-    """Labels of open blocks from the nearest decided neighbours; in a tie the article's side wins."""
+    """Labels of open blocks from the nearest decided neighbours; in a tie the article's side wins.
+
+    For open blocks of the article, blocks that are bad for their links alone are no neighbours.
+    """
     n = len(blocks)
     before, after = [(-1, 0)] * n, [(-1, 0)] * n
 
     def sweep(order, out) -> None:
-        any_last, by_section = None, {}
+        last = ({}, {})  # for blocks outside and inside the article: by section, and under None of all
         for i in order:
             if labels[i]:
-                any_last = i
-                by_section[blocks[i][4]] = i
+                last[0][None] = last[0][blocks[i][4]] = i
+                if labels[i] > 0 or blocks[i][2]:
+                    last[1][None] = last[1][blocks[i][4]] = i
             else:
-                own = by_section.get(blocks[i][4])
-                pick = own if own is not None else any_last
+                seen = last[bool(blocks[i][3])]
+                own = seen.get(blocks[i][4])
+                pick = own if own is not None else seen.get(None)
                 out[i] = (-1, 0) if pick is None else (abs(i - pick) + (0 if own is not None else FAR), labels[pick])
 
     sweep(range(n), before)
@@ -179,7 +234,8 @@ def _second_pass(blocks: list, labels: list[int]) -> list[bool]:
 def extract(html: str | None) -> str:
     """The article's blocks in page order, joined by two line breaks; empty for a null or empty page."""
     blocks = _Blocks(html or "").found
-    labels = [_first_pass(*b[:4]) for b in blocks]
+    unlisted = _unlisted(blocks)
+    labels = [_first_pass(*b[:4], unlisted) for b in blocks]
     return "\n\n".join(b[0] for b, keep in zip(blocks, _second_pass(blocks, labels)) if keep)
 
 
