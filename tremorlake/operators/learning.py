@@ -170,3 +170,15 @@ def train_and_score(dataset: DataFrame, horizon: int, threshold: float, rounds:
         "xs": F.array(*[F.lit(v) for v in c["xs"]]), "ys": F.array(*[F.lit(v) for v in c["ys"]])})
     return out.select("cell_id", "k", F.lit(horizon).alias("horizon_days"), F.lit(threshold).alias("mag_threshold"), F.col(label).alias("y"),
                       "p1", "p2", calibrated(F.col("p")).alias("p"), "kind")
+
+
+def train_and_score_heads(dataset: DataFrame, rounds: int = 200) -> DataFrame:
+    """``train_and_score`` of every head, over a dataset that is written once."""
+    path = scratch_path(dataset.sparkSession, "dataset")
+    dataset.write.parquet(path)
+    held, out = dataset.sparkSession.read.schema(dataset.schema).parquet(path), None
+    for horizon in K.HORIZONS:
+        for threshold in K.THRESHOLDS:
+            one = train_and_score(held, horizon, threshold, rounds)
+            out = one if out is None else out.unionByName(one)
+    return out

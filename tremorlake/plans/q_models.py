@@ -143,8 +143,8 @@ def m9_blend(spark, sf_dir):
 
 @query("m12_m15_learn")
 def m12_m15_learn(spark, sf_dir):
-    """Two tree learners, calibration and scores of one head, trained on the labelled frame."""
-    return learning.train_and_score(dataset(spark, sf_dir), 30, 4.5, rounds=5)
+    """Two tree learners, calibration and scores of all heads, trained on the labelled frame."""
+    return learning.train_and_score_heads(dataset(spark, sf_dir))
 
 
 __all__ = ["AS_OF"]
