@@ -86,8 +86,9 @@ class Model:
         e = scan.per_word(self.grams[scan.grams[at]]) + self.words[scan.word]
         e[scan.letters == 0] = 0
         if len(at):
-            first = np.minimum(np.concatenate([[0], np.cumsum(scan.letters)])[:-1], len(at) - 1)
-            allowed = self.uses[script_table()[scan.block.cp[at[first]]]]  # by the word's first letter
+            n, kinds = len(scan.letters), len(SCRIPT_NAMES)
+            of = np.repeat(np.arange(n, dtype=np.int64) * kinds, scan.letters) + script_table()[scan.block.cp[at]]
+            allowed = self.uses[np.bincount(of, minlength=n * kinds).reshape(n, kinds).argmax(1)]  # by the script of most of the word's letters
             e = np.where(allowed | ~allowed.any(1, keepdims=True) | (scan.letters == 0)[:, None], np.maximum(e - np.where(allowed, e, -1e9).max(1, keepdims=True), FLOOR), OUTSIDE)
             e[scan.letters == 0] = 0
         return e.astype(np.float32)
