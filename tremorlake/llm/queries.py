@@ -7,8 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tremorlake.llm import decontam, html_text, language, packing, quality_model, quality_rules, resharding, simhash, token_counts, token_files
+from tremorlake.llm import decontam, html_text, language, packing, quality_model, quality_rules, resharding, simhash, token_counts, token_files, vector_codes
 from tremorlake.llm.common import crc_of_id, table
+from tremorlake.llm.oracles import vector_codes_sql
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -80,3 +81,8 @@ def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op8_html_text")
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_text.main_text(table(spark, sf_dir, "pages"), ["page_id", "url"])
+
+
+@query("op12_vector_codes", vector_codes_sql())
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_codes.code_vectors(table(spark, sf_dir, "embeddings"))
