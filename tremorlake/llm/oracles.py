@@ -5,11 +5,11 @@ from __future__ import annotations
 
 def vector_codes_sql(parts: int = 16, entries: int = 64, rounds: int = 2) -> str:
     """Exact product codes: the rounds are written out one after the other."""
-    nearest = """SELECT v.vec_id, v.k, v.v, min(struct_pack(d := list_sum(list_transform(list_zip(v.v, b.c), z -> (z[1] - z[2]) * (z[1] - z[2]))), e := b.e)) AS best
+    nearest = """SELECT v.vec_id, v.k, v.v, min(struct_pack(d := list_sum(list_transform(list_zip(v.v, b.c), lambda z: (z[1] - z[2]) * (z[1] - z[2]))), e := b.e)) AS best
         FROM cut v JOIN book{n} b USING (k) GROUP BY v.vec_id, v.k, v.v"""
     steps = [f"""kept AS MATERIALIZED (
-        SELECT vec_id, label, list_transform(embedding, x -> CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS v, row_number() OVER (ORDER BY vec_id) - 1 AS nth
-        FROM embeddings WHERE embedding IS NOT NULL AND len(list_filter(embedding, x -> x IS NULL OR NOT isfinite(x))) = 0)""",
+        SELECT vec_id, label, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS v, row_number() OVER (ORDER BY vec_id) - 1 AS nth
+        FROM embeddings WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0)""",
              f"""cut AS MATERIALIZED (
         SELECT vec_id, nth, k, v[k * (len(v) // {parts}) + 1 : (k + 1) * (len(v) // {parts})] AS v FROM kept, range({parts}) AS t(k))""",
              f"book0 AS MATERIALIZED (SELECT k, nth AS e, v AS c FROM cut WHERE nth < {entries})"]
