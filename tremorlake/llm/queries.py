@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tremorlake.llm import decontam, html_text, language, packing, quality_model, quality_rules, resharding, simhash, token_counts, token_files, vector_codes
+from tremorlake.llm import decontam, html_text, language, packing, periodic_runs, quality_model, quality_rules, resharding, simhash, token_counts, token_files, vector_codes
 from tremorlake.llm.common import crc_of_id, table
 from tremorlake.llm.oracles import vector_codes_sql
 
@@ -86,3 +86,19 @@ def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op12_vector_codes", vector_codes_sql())
 def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vector_codes.code_vectors(table(spark, sf_dir, "embeddings"))
+
+
+def with_repeats(docs: DataFrame) -> DataFrame:
+    """(doc_id, text): one text in ten, by the crc32 h of its id, goes on with its word a + (i - a) mod p from its word a on."""
+    h, words = crc_of_id(), F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit(r"[^\x20\x09-\x0D]+"), F.lit(0))
+    g, n = F.floor(h / 10), F.size(words)
+    a = (g % n).cast("int")
+    p = (F.floor((n - a) / (g % 8 + 3)) + 1).cast("int")
+    tail = F.flatten(F.array_repeat(F.slice(words, a + 1, p), F.ceil((n - a) / p).cast("int")))
+    repeated = F.array_join(F.slice(F.concat(F.slice(words, 1, a), tail), 1, n), " ")
+    return docs.select("doc_id", F.when((h % 10 == 0) & (n > 0), repeated).otherwise(F.col("text")).alias("text"))
+
+
+@query("op11_periodic_runs")
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return periodic_runs.find_runs(with_repeats(table(spark, sf_dir, "documents")), texts=False).drop("runs")
