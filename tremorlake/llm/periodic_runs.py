@@ -18,7 +18,9 @@ from __future__ import annotations
 
 import hashlib
 import re
+from collections import defaultdict
 from dataclasses import dataclass
+from itertools import chain, count
 
 import numpy as np
 import pandas as pd
@@ -209,8 +211,8 @@ def runs_of_texts(words: list[list[str]], shortest: int = SHORTEST, times: int =
     """The runs of each text, by start and then period."""
     out: list[list[Run]] = [[] for _ in words]
     sizes = np.fromiter(map(len, words), np.int64, len(words))
-    table: dict[str, int] = {}
-    flat = np.fromiter((table.setdefault(w, len(table)) for text in words for w in text), np.int64, int(sizes.sum()))
+    table: dict[str, int] = defaultdict(count().__next__)
+    flat = np.fromiter(map(table.__getitem__, chain.from_iterable(words)), np.int64, int(sizes.sum()))
     ends = np.cumsum(sizes)
     parts, texts, origins, held, marks = [], [], [], 0, len(table)
     for t, (a, b) in enumerate(zip((ends - sizes).tolist(), ends.tolist())):

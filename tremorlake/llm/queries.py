@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tremorlake.llm import decontam, html_text, language, packing, periodic_runs, quality_model, quality_rules, resharding, simhash, token_counts, token_files, vector_codes
+from tremorlake.llm import decontam, html_text, language, packing, periodic_runs, quality_model, quality_rules, resharding, simhash, token_counts, token_files, vector_codes, vector_packing
 from tremorlake.llm.common import crc_of_id, table
 from tremorlake.llm.oracles import vector_codes_sql
 
@@ -102,3 +102,8 @@ def with_repeats(docs: DataFrame) -> DataFrame:
 @query("op11_periodic_runs")
 def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
     return periodic_runs.find_runs(with_repeats(table(spark, sf_dir, "documents")), texts=False).drop("runs")
+
+
+@query("op13_vector_packing")
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_packing.pack(table(spark, sf_dir, "documents"))
