@@ -175,3 +175,30 @@ def test_search_beats_or_equals_best_fit(spark):
     items = Counter({45: 20, 30: 15, 25: 25, 20: 30, 35: 20, 10: 3})
     found = packing.search(spark.createDataFrame(list(items.items()), "length bigint, n bigint"), capacity=100)
     assert packing.n_bins(found) <= packing.n_bins(packing.best_fit(items, [], 100))
+
+
+def thue_morse(n, letters="ab"):
+    return "".join(letters[bin(i).count("1") % 2] for i in range(n))
+
+
+@pytest.mark.parametrize("size", [32, 64, 1 << 10, 1 << 11, 1 << 12, 1 << 14])
+def test_spans_that_collide_under_every_base(library, size):
+    """A word and its mirror image have equal polynomial hashes modulo 2^64 from 2^10 letters on."""
+    some = [f"{thue_morse(size)} {thue_morse(size, 'ba')} {thue_morse(size)}", thue_morse(size, "ba"), " " + thue_morse(size)]
+    for name in ("byte_bpe_50k.json", "word_bpe_49k.json"):
+        flat, held = fast_encode.SpanEncoder(path(name)).encode(some)
+        want = [ids_of(library[name], t).tolist() for t in some]
+        assert flat.tolist() == [i for ids in want for i in ids] and held.tolist() == list(map(len, want))
+    c = token_counts.Counter(path("byte_bpe_50k.json"))
+    assert c.finish(c.maps(some)).tolist() == [len(ids_of(library["byte_bpe_50k.json"], t)) for t in some]
+
+
+def test_equal_hashes_of_different_short_spans(library, monkeypatch):
+    """Where hashes fail altogether, spans are still told apart."""
+    monkeypatch.setattr(fast_encode.Block, "hashes", lambda self, starts, ends, values=None: np.zeros(len(starts), np.uint64))
+    some = texts(200, 8)
+    for name in ("byte_bpe_50k.json", "word_bpe_49k.json"):
+        flat, _ = fast_encode.SpanEncoder(path(name)).encode(some)
+        assert flat.tolist() == [i for t in some for i in ids_of(library[name], t).tolist()]
+    c = token_counts.Counter(path("byte_bpe_50k.json"))
+    assert c.counts(some).tolist() == [len(ids_of(library["byte_bpe_50k.json"], t)) for t in some]

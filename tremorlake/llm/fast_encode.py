@@ -15,7 +15,7 @@ from functools import lru_cache
 
 import numpy as np
 
-from tremorlake.llm.text_scan import LETTER, Block, cut_long, distinct, grouped, spans_with_space, spans_without_space
+from tremorlake.llm.text_scan import LETTER, LONG_SPAN, Block, cut_long, grouped, spans_with_space, spans_without_space
 
 MEMO_SPANS = 350_000  #: distinct spans a worker remembers before it starts anew
 RUN_WORDS = 500  #: plain words that go to the library in one string
@@ -49,8 +49,9 @@ class SpanEncoder:
         self._forget()
 
     def _forget(self) -> None:
-        self.memo: dict[int, int] = {}
-        self.start, self.size, self.flat, self.used = np.zeros(1024, np.int64), np.zeros(1024, np.int64), np.zeros(4096, np.uint32), 0
+        self.memo: dict[str, int] = {}
+        self.start, self.size, self.flat = np.zeros(1024, np.int64), np.zeros(1024, np.int64), np.zeros(4096, np.uint32)
+        self.slots = self.used = 0
 
     def _ask(self, spans: list[str], alone: bool) -> tuple[list[int], list[int]]:
         """(ids, number of ids of each span). Plain words go in runs, which the library cuts apart again."""
@@ -64,12 +65,9 @@ class SpanEncoder:
             sizes += np.bincount(e.word_ids, minlength=len(run)).tolist()
         return ids, sizes
 
-    def _learn(self, keys: list[int], spans: list[str], plain: np.ndarray) -> None:
-        order = np.concatenate([np.flatnonzero(plain), np.flatnonzero(~plain)]).tolist()
-        cut = int(plain.sum())
-        a, b = self._ask([spans[i] for i in order[:cut]], False), self._ask([spans[i] for i in order[cut:]], True)
-        keys = [keys[i] for i in order]
-        n, size, flat = len(self.memo), np.array(a[1] + b[1], np.int64), np.array(a[0] + b[0], np.uint32)
+    def _store(self, ids: list[int], sizes: list[int]) -> range:
+        """Keep the ids of spans; returns their slots."""
+        n, size, flat = self.slots, np.array(sizes, np.int64), np.array(ids, np.uint32)
         while len(self.size) < n + len(size):
             self.start, self.size = np.concatenate([self.start, self.start]), np.concatenate([self.size, self.size])
         while len(self.flat) < self.used + len(flat):
@@ -77,29 +75,45 @@ class SpanEncoder:
         self.size[n:n + len(size)] = size
         self.start[n:n + len(size)] = self.used + np.cumsum(size) - size
         self.flat[self.used:self.used + len(flat)] = flat
-        self.used += len(flat)
-        self.memo.update(zip(keys, range(n, n + len(size))))
+        self.slots, self.used = n + len(size), self.used + len(flat)
+        return range(n, self.slots)
+
+    def _learn(self, spans: list[str], plain: np.ndarray) -> None:
+        order = np.concatenate([np.flatnonzero(plain), np.flatnonzero(~plain)]).tolist()
+        cut = int(plain.sum())
+        a, b = self._ask([spans[i] for i in order[:cut]], False), self._ask([spans[i] for i in order[cut:]], True)
+        self.memo.update(zip([spans[i] for i in order], self._store(a[0] + b[0], a[1] + b[1])))
+
+    def _short(self, block: Block, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        """Slots of short spans. What is remembered is looked up by the span's text."""
+        found = block.kinds(starts, ends)
+        codes, first = found or (np.arange(len(starts)), np.arange(len(starts)))
+        a, b = starts[first], ends[first]
+        spans = [block.text[i:j] for i, j in zip(a.tolist(), b.tolist())]
+        new = [k for k, span in enumerate(spans) if span not in self.memo]
+        if found is None:
+            new = list({spans[k]: k for k in new}.values())
+        if new:
+            a = a[new]
+            plain = (block.cp[a] == 32) & (block.cls[a + 1] == LETTER) if self.with_space else block.cls[a] == LETTER
+            self._learn([spans[k] for k in new], plain)
+        return np.fromiter(map(self.memo.__getitem__, spans), np.int64, len(spans))[codes] if spans else codes.astype(np.int64)
 
     def _block(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         block = Block(texts)
         starts, ends = self.spans(block)
-        h = block.hashes(starts, ends)
-        codes, first = distinct(h)
-        keys = h[first].tolist()
         if len(self.memo) > MEMO_SPANS:
             self._forget()
-        new = [k for k, key in enumerate(keys) if key not in self.memo]
-        if new:
-            a, b = starts[first][new], ends[first][new]
-            if self.with_space:
-                plain = (block.cp[a] == 32) & (block.cls[a + 1] == LETTER)
-            else:
-                plain = block.cls[a] == LETTER
-            self._learn([keys[k] for k in new], [block.text[i:j] for i, j in zip(a.tolist(), b.tolist())], plain)
-        slot = np.fromiter(map(self.memo.__getitem__, keys), np.int64, len(keys))[codes] if len(keys) else codes.astype(np.int64)
+        long = ends - starts > LONG_SPAN
+        slot = np.empty(len(starts), np.int64)
+        slot[~long] = self._short(block, starts[~long], ends[~long])
+        kept = self.slots, self.used
+        if long.any():
+            slot[long] = self._store(*self._ask([block.text[i:j] for i, j in zip(starts[long].tolist(), ends[long].tolist())], True))
         size = self.size[slot]
         ends_out = np.cumsum(size)
         ids = self.flat[np.repeat(self.start[slot] - (ends_out - size), size) + np.arange(size.sum())]
+        self.slots, self.used = kept
         held = np.bincount(block.owner(starts), weights=size, minlength=len(texts)).astype(np.int64)
         return ids, held
 

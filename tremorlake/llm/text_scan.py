@@ -16,6 +16,7 @@ import pandas as pd
 import regex
 
 BLOCK = 1 << 19
+LONG_SPAN = 64  #: characters from which on a span is never told from others by hashes
 OTHER, LETTER, NUMBER, SPACE, SEP = 0, 1, 2, 3, 4
 # The code points of Unicode's White_Space property.
 WHITE = "\t-\r \x85\xa0  -     　"
@@ -73,6 +74,28 @@ class Block:
         return h ^ (h >> np.uint64(32))
 
 
+    def equal(self, a: np.ndarray, b: np.ndarray, size: np.ndarray) -> bool:
+        """Whether each stretch of ``size`` characters from ``a`` on holds the same as that from ``b`` on."""
+        order = np.argsort(-size, kind="stable")
+        a, b, size = a[order], b[order], size[order]
+        for k in range(int(size[0]) if len(size) else 0):
+            n = int(np.searchsorted(-size, -k))
+            if not np.array_equal(self.cp[a[:n] + k], self.cp[b[:n] + k]):
+                return False
+        return True
+
+    def kinds(self, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray] | None:
+        """``distinct`` of the spans by their characters: hashes tell them apart, a comparison confirms.
+        None where hashes of different spans are equal. Meant for short spans."""
+        codes, first = distinct(self.hashes(starts, ends))
+        head, size = first[codes], ends - starts
+        other = np.flatnonzero(head != np.arange(len(head)))
+        to = head[other]
+        if (size[other] != size[to]).any() or not self.equal(starts[other], starts[to], size[other]):
+            return None
+        return codes, first
+
+
 def distinct(h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(number of its value for each row, row where each value comes first)."""
     codes, values = pd.factorize(h)

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tremorlake.llm.common import small_batches, stored, tidy, tokenizer_file
-from tremorlake.llm.text_scan import Block, cut_long, distinct, first_gap, grouped, last_gap, spans_with_space
+from tremorlake.llm.text_scan import LONG_SPAN, Block, cut_long, first_gap, grouped, last_gap, spans_with_space
 
 TOKENIZER, LIMIT = "byte_bpe_50k.json", 1024
 CHUNK = 1 << 18  #: characters of a chunk
@@ -146,7 +146,7 @@ class Counter:
         self.transducer = Transducer([tuple(bytes(letters[c] for c in side) for side in pair) for pair in setup["model"]["merges"]])
         special = [t["content"] for t in setup["added_tokens"]]
         self.split = re.compile("(" + "|".join(map(re.escape, special)) + ")").split if special else lambda t: [t]
-        self.memo: dict[int, int] = {}
+        self.memo: dict[str, int] = {}
 
     def counts(self, texts: list[str]) -> np.ndarray:
         """Tokens of each text, read on its own."""
@@ -165,18 +165,24 @@ class Counter:
             starts, ends = spans_with_space(block)
             if not len(starts):
                 continue
-            h = block.hashes(starts, ends)
-            codes, first = distinct(h)
             if len(self.memo) > MEMO_SPANS:
                 self.memo.clear()
-            memo, keys, a, b = self.memo, h[first].tolist(), starts[first].tolist(), ends[first].tolist()
-            for k, key in enumerate(keys):
-                if key not in memo:
-                    memo[key] = self.transducer.count(block.text[a[k]:b[k]].encode())
-            n = np.fromiter(map(memo.__getitem__, keys), np.int64, len(keys))[codes]
+            long, n = ends - starts > LONG_SPAN, np.empty(len(starts), np.int64)
+            n[~long] = self._short(block, starts[~long], ends[~long])
+            n[long] = [self.transducer.count(block.text[a:b].encode()) for a, b in zip(starts[long].tolist(), ends[long].tolist())]
             np.add.at(total, own[s][block.owner(starts)], n)
         return total
 
+    def _short(self, block: Block, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        """Counts of short spans; what is remembered is looked up by the span's text."""
+        found = block.kinds(starts, ends)
+        codes, first = found or (np.arange(len(starts)), np.arange(len(starts)))
+        memo, spans = self.memo, [block.text[i:j] for i, j in zip(starts[first].tolist(), ends[first].tolist())]
+        for span in spans:
+            if span not in memo:
+                memo[span] = self.transducer.count(span.encode())
+        return np.fromiter(map(memo.__getitem__, spans), np.int64, len(spans))[codes]
+
     def maps(self, chunks: list[str]) -> list[StateMap]:
         cuts = [(first_gap(c), last_gap(c)) for c in chunks]
         inner = self.counts([c[a:b] if a >= 0 else "" for c, (a, b) in zip(chunks, cuts)])
