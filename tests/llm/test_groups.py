@@ -11,6 +11,8 @@ import xxhash
 
 import corpus_pipeline
 from tests.llm.conftest import WORDS, prose
+from tests.llm.test_near_text import groups as shingle_groups
+from tests.llm.test_near_text import shingles
 from tremorlake.llm import decontam, resharding, simhash
 from tremorlake.llm.components import components
 from tremorlake.llm.text_scan import Block
@@ -265,12 +267,11 @@ def test_pipeline_equals_its_stages_by_brute_force(spark):
     kept = docs
     for _, stage in corpus_pipeline.STAGES[:2]:
         kept = stage(spark, kept, sf)
-    true = {r.doc_id: (fingerprint(r.text), r.text) for r in kept.collect()}
-    root = classes({f for f, _ in true.values()}, lambda a, b: (a ^ b).bit_count() <= 2)
-    first = {}
-    for i in sorted(true):
-        first.setdefault(root[true[i][0]], i)
+    rows = sorted(kept.collect(), key=lambda r: r.doc_id)
+    text = {r.doc_id: r.text for r in rows}
+    root = shingle_groups([shingles(r.text) for r in rows])
+    first = [rows[i].doc_id for i in sorted(set(root))]
     words = lambda t: decontam.word_hashes(Block([t]))[2].tolist()
     items = [w for r in spark.read.parquet(f"{sf}/benchmark.parquet").collect() if (w := words(r.text))]
-    clean = {i for i in first.values() if not any(decontam.best_match(p, words(true[i][1]))[0] <= decontam.limit(len(p)) for p in items)}
+    clean = {i for i in first if not any(decontam.best_match(p, words(text[i]))[0] <= decontam.limit(len(p)) for p in items)}
     assert {r.doc_id for r in corpus_pipeline.run(spark, sf).select("doc_id").distinct().collect()} == clean
