@@ -32,31 +32,45 @@ il lo gli un uno e non per con che di da si sono della del nel anche come
 o os um uma não com do da em no na mais ao dos das foi
 een het van en niet dat op te zijn met voor aan hij ook
 """.split())
-RAW = "script|style|noscript|template|textarea|title|iframe|svg|math|canvas|object|select|option"
-_TAG = re.compile(rf"""<!--.*?(?:-->|\Z)|<[!?][^>]*>|<({RAW})(?=[\s/>])[^>]*>.*?(?:</\1\s*>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*)>""", re.S | re.I)
+# Elements whose content is not markup.
+RAW = frozenset("script style noscript template textarea title iframe xmp noembed noframes".split())
+_OPEN = re.compile(r"""<(/?)([a-zA-Z][^\s/<>]*+)((?:[^<>"']++|"[^"]*+"|'[^']*+')*+)>""")
+_OPEN_PLAIN = re.compile(r"<(/?)([a-zA-Z][^\s/<>]*+)([^<>]*+)>")  # where a quote is not closed
+_COMMENT_END = re.compile(r"--!?>")
 _ATTRIBUTE = re.compile(r"""(?:^|\s)(class|id|role|hidden|aria-hidden|style)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?(?=[\s/]|$)""", re.I)
-_HINT = re.compile(r"""(?:^|[\s_-])(?:ads?|adverts?|advertisement|advertising|sponsor|sponsored|promo|promotion|banner|cookies?|consent|notice|notification|popup|modal|overlay|
-    newsletter|subscribe|subscription|signup|share|sharing|social|related|recommended|sidebar|widget|menu|navbar|nav|navigation|breadcrumbs?|footer|masthead|
-    comments?|commentlist|respond|replies|disqus|login|search|toolbar|pagination|pager|skip|disclaimer|hidden)(?:[\s_-]|$)""", re.I | re.X)
+# Roles that class names and ids tell of, and words that may stand behind one.
+ROLES = frozenset("""ad ads advert adverts advertisement advertising sponsor sponsored promo promotion banner cookie cookies consent notice notification popup modal overlay
+    newsletter subscribe subscription signup share sharing social related recommended sidebar widget menu navbar nav navigation breadcrumb breadcrumbs footer masthead
+    comment comments commentlist respond replies disqus login search toolbar pagination pager skip disclaimer hidden""".split())
+BEHIND = frozenset("""area article articles author avatar bar block body bottom box btn button buttons card cards col column container content date entry feed field fields form frame
+    group head header heading holder icon icons image img inner input items item label layer left line link links list main media message meta middle mobile module name outer panel
+    placeholder policy post posts rail region right row section slot stories story strip text thread title tools top unit wide wrap wrapper zone""".split())
+_PARTS = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+|[0-9]+|[^\W\d_a-zA-Z]+")
 #: Parts of class names that tell of a page's state, as in has-sidebar or comments-open, not of an element's role.
 _STATE, _STATE_END = frozenset("has with without no".split()), frozenset("open closed enabled disabled active on off".split())
-_ROLE = re.compile(r"^(navigation|banner|contentinfo|complementary|search|form|dialog|alert|menu|menubar)$", re.I)
-_HEADER = re.compile(r"(?:^|[\s_-])header(?:[\s_-]|$)", re.I)
-BAD_TAGS = frozenset("nav footer aside form button menu dialog head label fieldset".split())
+_ROLE = re.compile(r"^(navigation|banner|contentinfo|complementary|search|dialog|alert|menu|menubar)$", re.I)
+_HEADER = frozenset(("header",))
+BAD_TAGS = frozenset("nav footer aside button menu dialog head label fieldset svg math canvas object select datalist audio video".split())
+WRAPPER = 0.5  #: share of a page's unmarked text from which on a form is the page's wrapper, not a form
 MAIN_TAGS = frozenset(("article", "main"))
-CONTAINERS = frozenset("div section article main aside nav header footer form ul ol dl table figure body html head button menu dialog label fieldset blockquote".split())
-BREAKS = CONTAINERS | frozenset("p li dt dd h1 h2 h3 h4 h5 h6 pre tr td th caption figcaption hr address details summary center thead tbody tfoot".split())
+CONTAINERS = frozenset("div section article main aside nav header footer form ul ol dl table figure body html head button menu dialog label fieldset blockquote svg math canvas object select datalist audio video".split())
+BREAKS = CONTAINERS | frozenset("p li dt dd h1 h2 h3 h4 h5 h6 pre tr td th caption figcaption hr address details summary center thead tbody tfoot option optgroup".split())
 SECTIONS = frozenset("article main aside nav header footer section form".split())
 
 
-def _names(value: str) -> str:
-    """The class names of an attribute without those that only tell of a page's state."""
+def _names(value: str) -> list[list[str]]:
+    """The class names of an attribute in lower-case parts, without those that only tell of a page's state."""
     keep = []
     for name in value.split():
-        parts = re.split("[_-]+", name.lower())
-        if not (len(parts) > 1 and (_STATE & set(parts) or parts[-1] in _STATE_END)):
-            keep.append(name)
-    return " ".join(keep)
+        parts = [p.lower() for p in _PARTS.findall(name)]
+        if parts and not (len(parts) > 1 and (_STATE & set(parts) or parts[-1] in _STATE_END)):
+            keep.append(parts)
+    return keep
+
+
+def _role(parts: list[str], roles: frozenset[str]) -> bool:
+    """Whether a name is that of a role: it ends in one (site-footer), or begins with one and says nothing else (footer-links, comment-42)."""
+    return parts[-1] in roles or (parts[0] in roles and all(p in BEHIND or p in roles or p.isdigit() for p in parts[1:]))
 
 
 def _marked(tag: str, attributes: str, inside_main: bool) -> bool:
@@ -66,8 +80,7 @@ def _marked(tag: str, attributes: str, inside_main: bool) -> bool:
     for name, value in _ATTRIBUTE.findall(attributes):
         name, value = name.lower(), value.strip("\"'")
         if name in ("class", "id"):
-            named = _names(value)
-            if _HINT.search(named) or (not inside_main and _HEADER.search(named)):
+            if any(_role(parts, ROLES) or (not inside_main and _role(parts, _HEADER)) for parts in _names(value)):
                 return tag not in ("body", "html", "article", "main")
         elif name == "role" and _ROLE.match(value):
             return True
@@ -84,16 +97,52 @@ class _Blocks:
         self.text: list[str] = []
         self.links, self.in_link, self.marked_block, self.breaks, self.sections = 0, 0, False, 0, 0
         self.stack: list[tuple[str, bool, bool, int]] = [("", False, False, 0)]
-        at = 0
-        for m in _TAG.finditer(html):
-            if m.start() > at:
-                self.add(html[at:m.start()])
-            at = m.end()
-            if m[3]:
-                self.tag(m[3].lower(), m[2] == "/", m[4])
-        if at < len(html):
-            self.add(html[at:])
+        self.forms: list[list] = []  # [open, in the article or holding it, blocks] of each form
+        self.scan(html)
         self.flush()
+        self.judge_forms()
+
+    def scan(self, html: str) -> None:
+        """One pass from left to right; every step goes on behind what it has read."""
+        at, text = 0, 0
+        while (at := html.find("<", at)) >= 0:
+            kind, end, tag = html[at + 1:at + 2], at + 1, None
+            if html.startswith("<!--", at):
+                short = next((len(e) for e in ("<!-->", "<!--->") if html.startswith(e, at)), 0)
+                stop = None if short else _COMMENT_END.search(html, at + 4)
+                end = at + short if short else stop.end() if stop else len(html)
+            elif kind in ("!", "?") or (kind == "/" and not html[at + 2:at + 3].isalpha()):
+                end = html.find(">", at) + 1 or len(html)
+            elif kind == "/" or kind.isalpha():
+                tag = _OPEN.match(html, at) or _OPEN_PLAIN.match(html, at)
+                if tag is None:  # not closed before the next tag: it is text
+                    at += 1
+                    continue
+                end = tag.end()
+            else:
+                at += 1
+                continue
+            if at > text:
+                self.add(html[text:at])
+            if tag is not None:
+                name = tag[2].lower()
+                if name in RAW and not tag[1]:
+                    close = re.compile(rf"</{name}(?=[\s/>])[^>]*+>?", re.I).search(html, end)
+                    end = close.end() if close else len(html)
+                elif name not in RAW:
+                    self.tag(name, tag[1] == "/", tag[3])
+            at = text = end
+        if text < len(html):
+            self.add(html[text:])
+
+    def judge_forms(self) -> None:
+        """Mark the blocks of forms, but of those that wrap the page or its article."""
+        if not self.forms:
+            return
+        size = lambda blocks: sum(len(b[0]) for b in blocks if not b[2] and not _link_dense(b[0], b[1]))
+        least = WRAPPER * size(self.found)
+        bad = {i for _, main, blocks in self.forms if not main and (size(map(self.found.__getitem__, blocks)) < least or not least) for i in blocks}
+        self.found = [(b[0], b[1], b[2] or i in bad, b[3], b[4]) for i, b in enumerate(self.found)]
 
     def add(self, raw: str) -> None:
         text = unescape(raw) if "&" in raw else raw
@@ -107,6 +156,9 @@ class _Blocks:
         text = " ".join("".join(self.text).split())
         if text:
             _, marked, main, section = self.stack[-1]
+            inner = next((f for f in reversed(self.forms) if f[0]), None)
+            if inner:
+                inner[2].append(len(self.found))
             self.found.append((text, self.links, marked or self.marked_block, main, section))
         self.text, self.links, self.marked_block, self.breaks = [], 0, False, 0
 
@@ -130,6 +182,9 @@ class _Blocks:
         if closing:
             for i in range(len(self.stack) - 1, 0, -1):
                 if self.stack[i][0] == tag:
+                    for name, *_ in self.stack[i:]:
+                        if name == "form":
+                            next(f for f in reversed(self.forms) if f[0])[0] = False
                     del self.stack[i:]
                     break
             return
@@ -140,6 +195,11 @@ class _Blocks:
             section = self.sections
         if not attributes.endswith("/"):
             self.stack.append((tag, marked or own, main or tag in MAIN_TAGS, section))
+            if tag == "form":
+                self.forms.append([True, False, []])
+            elif tag in MAIN_TAGS and not (marked or own):
+                for form in self.forms:
+                    form[1] = form[1] or form[0]
 
 
 _WIDE = re.compile("[\u3000-\u30ff\u3400-\u9fff\uac00-\ud7af\uff00-\uffef\U00020000-\U0003ffff]")
@@ -240,7 +300,12 @@ def extract(html: str | None) -> str:
 
 
 def main_text(pages: DataFrame, keep: list[str] | None = None, html: str = "html") -> DataFrame:
-    """The columns ``keep`` (all others by default), ``text`` and ``n_chars`` of every page."""
+    """The columns ``keep`` (all others by default), ``text`` and ``n_chars`` of every page.
+
+    A null or empty page has an empty text. Repeated pages are rows of their own; an empty
+    table gives an empty result; columns named ``text`` or ``n_chars`` are replaced unless
+    they are in ``keep``. Time and memory are in proportion to a page's length.
+    """
     columns = [c for c in pages.columns if c not in (html, "text", "n_chars")] if keep is None else keep
     held = pages.select(*[F.col(c).alias(f"c{i}") for i, c in enumerate(columns)], F.col(html).cast("string").alias("_html"))
 
