@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
 from pyspark.ml import PipelineModel
@@ -15,7 +16,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tremorlake import constants as K
-from tremorlake.functions.heads import head_name
+from tremorlake.functions.heads import HEADS, head_columns
+from tremorlake.operators import boosting
 from tremorlake.operators.ensemble import calibrated, logit
 from tremorlake.operators.features import feature_columns
 from tremorlake.operators.labels import folds, time_split
@@ -106,29 +108,6 @@ def fit_calibrators(scored: DataFrame, label: str) -> tuple[dict, dict]:
     return next(r for r in rows if r["kind"] == best), metrics
 
 
-def train_head(train: DataFrame, val: DataFrame, label: str, features: list[str], rounds: int = 200, keys=("cell_no", "k")) -> HeadModel:
-    """Learners on train; calibrator on validation, or on three held-out folds of train.
-
-    The calibrator sees the mean of the two learners, as published.
-    """
-    boosted, forest = fit_learners(train, label, features, rounds)
-    mean = lambda df, a, b: probability(b, probability(a, df, features, "p1"), features, "p2").withColumn("p", (F.col("p1") + F.col("p2")) / 2)
-    lo, hi = val.agg(F.min(label), F.max(label)).first()
-    if lo is not None and lo != hi:
-        calibrator, metrics = fit_calibrators(mean(val, boosted, forest).select("p", label), label)
-    elif boosted is not None:
-        parts = folds(train, list(keys))
-        held = None
-        for f in range(3):
-            a, b = fit_learners(parts.where(F.col("fold") != f), label, features, rounds)
-            one = mean(parts.where(F.col("fold") == f), a, b).select("p", label)
-            held = one if held is None else held.unionByName(one)
-        calibrator, metrics = fit_calibrators(held, label)
-    else:
-        calibrator, metrics = {"kind": "identity", "a": 0.0, "b": 0.0, "c": 0.0, "xs": [0.0], "ys": [0.0]}, {}
-    return HeadModel(boosted, forest, calibrator, metrics, features)
-
-
 def save_head(model: HeadModel, path: str) -> None:
     """Store a head: both pipelines, and its calibrator as a one-row table."""
     for name in ("boosted", "forest"):
@@ -159,26 +138,46 @@ def score(model: HeadModel, df: DataFrame) -> DataFrame:
     return probability(model.forest, probability(model.boosted, df, model.features, "p1"), model.features, "p2")
 
 
-def train_and_score(dataset: DataFrame, horizon: int, threshold: float, rounds: int = 200) -> DataFrame:
-    """Train one head on the purged split and score the later snapshots."""
-    label, features = head_name(horizon, threshold), feature_columns()
-    split = time_split(dataset)
-    model = train_head(split.where("split = 'train'"), split.where("split = 'val'"), label, features, rounds)
-    c = model.calibrator
-    out = score(model, split.where("split = 'test'")).withColumn("p", (F.col("p1") + F.col("p2")) / 2).withColumns({
-        "kind": F.lit(c["kind"]), "a": F.lit(c["a"]), "b": F.lit(c["b"]), "c": F.lit(c["c"]),
-        "xs": F.array(*[F.lit(v) for v in c["xs"]]), "ys": F.array(*[F.lit(v) for v in c["ys"]])})
-    return out.select("cell_id", "k", F.lit(horizon).alias("horizon_days"), F.lit(threshold).alias("mag_threshold"), F.col(label).alias("y"),
-                      "p1", "p2", calibrated(F.col("p")).alias("p"), "kind")
-
-
 def train_and_score_heads(dataset: DataFrame, rounds: int = 200) -> DataFrame:
-    """``train_and_score`` of every head, over a dataset that is written once."""
-    path = scratch_path(dataset.sparkSession, "dataset")
-    dataset.write.parquet(path)
-    held, out = dataset.sparkSession.read.schema(dataset.schema).parquet(path), None
-    for horizon in K.HORIZONS:
-        for threshold in K.THRESHOLDS:
-            one = train_and_score(held, horizon, threshold, rounds)
-            out = one if out is None else out.unionByName(one)
-    return out
+    """Both boosted learners of every head on the purged split, calibrated, scoring the later snapshots.
+
+    The calibrator of a head is chosen on validation rows, or, where those hold one class only, on rows
+    of three held-out folds of the training rows. It sees the mean of the two learners. A head
+    whose training rows hold one class has scores of zero and no calibrator.
+    """
+    spark = dataset.sparkSession
+    labels, features, identity = head_columns(), feature_columns(), {"kind": "identity", "a": 0.0, "b": 0.0, "c": 0.0, "xs": [0.0], "ys": [0.0]}
+
+    def held(df: DataFrame, name: str) -> DataFrame:
+        path = scratch_path(spark, name)
+        df.write.parquet(path)
+        return spark.read.schema(df.schema).parquet(path)
+
+    split = held(prepared(time_split(dataset), features), "dataset")
+    train, val, test = (split.where(F.col("split") == s) for s in ("train", "val", "test"))
+    heads, none = list(range(len(labels))), F.lit(boosting.FULL)
+    spread = val.agg(*[(F.min(c) < F.max(c)).alias(c) for c in labels]).first()
+    crossed = [h for h in heads if not spread[h]]
+    edges = boosting.bin_edges(train, features)
+    wanted = [(h, n, f) for h in heads for n in range(len(boosting.LEARNERS)) for f in ([boosting.FULL, 0, 1, 2] if h in crossed else [boosting.FULL])]
+    parts = folds(train, ["cell_no", "k"]) if crossed else train.withColumn("fold", F.lit(0))
+    models = boosting.fit_models(parts, features, labels, edges, wanted, F.col("fold"), rounds)
+    full = [h for h in heads if (h, 0, boosting.FULL) in models]
+    mean = ((F.col("p1") + F.col("p2")) / 2).alias("p")
+    checked = [x for x in ([h for h in full if h not in crossed], [h for h in full if h in crossed])]
+    held_out = [boosting.score_rows(df, features, labels, edges, models, fold, [], hs).select("head", "y", mean)
+                for df, fold, hs in ((val, none, checked[0]), (parts, F.col("fold"), checked[1])) if hs]
+    calibrators = {}
+    if held_out:
+        scored = held(held_out[0] if len(held_out) == 1 else held_out[0].unionByName(held_out[1]), "held-out")
+        with ThreadPoolExecutor(4) as pool:  # jobs of several heads share the cluster
+            calibrators = dict(zip(full, pool.map(lambda h: fit_calibrators(scored.where(F.col("head") == h), "y"), full)))
+    rows = []
+    for h, (horizon, threshold) in enumerate(HEADS):
+        c, metrics = calibrators.get(h, (identity, {}))
+        rows.append((h, horizon, float(threshold), c["kind"], c["a"], c["b"], c["c"], c["xs"], c["ys"], metrics.get(c["kind"]), metrics.get("identity")))
+    table = spark.createDataFrame(rows, "head int, horizon_days int, mag_threshold double, kind string, a double, b double, c double, xs array<double>, ys array<double>, "
+                                        "brier double, brier_identity double")
+    out = boosting.score_rows(test, features, labels, edges, models, none, ["cell_id", "k"], heads).withColumn("p", mean)
+    return out.join(F.broadcast(table), "head").select("cell_id", "k", "horizon_days", "mag_threshold", "y", "p1", "p2", calibrated(F.col("p")).alias("p"), "kind",
+                                                       "brier", "brier_identity")

@@ -191,19 +191,19 @@ def a11_frame(spark, sf_dir):
     return X.build_features(events(spark, sf_dir), SNAPS).select("cell_id", "k", *X.feature_columns())
 
 
-_LABELS = """buf as (select cell_no as target, other_no as cell_no from nbr union all select cell_no, cell_no from grid),
+LABELS_SQL = """buf as (select cell_no as target, other_no as cell_no from nbr union all select cell_no, cell_no from grid),
 hit as (select b.target, s.k, e.magnitude as m, epoch_us(e.time)-epoch_us(s.snapshot) as lead from quakes e join snaps s on e.time > s.snapshot and e.time <= s.snapshot + interval 60 day join buf b on b.cell_no = e.cell_no),
 lbl as materialized (select g.cell_no, g.cell_id, s.k, s.snapshot, """ + ", ".join(
     f"cast(coalesce(bool_or(m >= {t} and lead <= {h}*86400000000), false) as int) as {head_name(h, t)}" for h, t in HEADS) + """
   from grid g cross join snaps s left join hit on hit.target = g.cell_no and hit.k = s.k group by 1,2,3,4)"""
 
 
-@query("b2_labels", S.stmt(S.QUAKES, S.GRID, S.SNAPS, S.NEIGHBORS, _LABELS, f"select cell_id, k, {', '.join(head_columns())} from lbl"))
+@query("b2_labels", S.stmt(S.QUAKES, S.GRID, S.SNAPS, S.NEIGHBORS, LABELS_SQL, f"select cell_id, k, {', '.join(head_columns())} from lbl"))
 def b2_labels(spark, sf_dir):
     return named(L.build_labels(events(spark, sf_dir), SNAPS), *head_columns())
 
 
-@query("a18_positive_rates", S.stmt(S.QUAKES, S.GRID, S.SNAPS, S.NEIGHBORS, _LABELS, "select " + ", ".join(f"round(avg({c}), 9) as {c}" for c in head_columns()) + " from lbl"))
+@query("a18_positive_rates", S.stmt(S.QUAKES, S.GRID, S.SNAPS, S.NEIGHBORS, LABELS_SQL, "select " + ", ".join(f"round(avg({c}), 9) as {c}" for c in head_columns()) + " from lbl"))
 def a18_positive_rates(spark, sf_dir):
     return L.positive_rates(L.build_labels(events(spark, sf_dir), SNAPS)).select(*[r(c, 9) for c in head_columns()])
 
@@ -213,7 +213,7 @@ def dataset(spark, sf_dir):
     return L.join_dataset(X.build_features(events(spark, sf_dir), SNAPS), L.build_labels(events(spark, sf_dir), SNAPS))
 
 
-@query("j1_dataset", S.stmt(*_BASE, S.NEIGHBORS, _LABELS, f"""c30 as (select cell_no, k, count(*) as n from win where {_d(30)} group by 1,2)
+@query("j1_dataset", S.stmt(*_BASE, S.NEIGHBORS, LABELS_SQL, f"""c30 as (select cell_no, k, count(*) as n from win where {_d(30)} group by 1,2)
 select cell_id, k, cast(coalesce(n, 0) as double) as event_count_30d, label_h30_m50, label_h7_m45 from lbl left join c30 using (cell_no, k)"""))
 def j1_dataset(spark, sf_dir):
     return L.join_dataset(X.build_features(events(spark, sf_dir), SNAPS), L.build_labels(events(spark, sf_dir), SNAPS)).select(
@@ -232,7 +232,7 @@ def b4_time_split(spark, sf_dir):
     return out.join(total.withColumn("one", F.lit(1)), "one").drop("one")
 
 
-@query("b5_folds", S.stmt(S.QUAKES, S.GRID, S.SNAPS, S.NEIGHBORS, _LABELS, """
+@query("b5_folds", S.stmt(S.QUAKES, S.GRID, S.SNAPS, S.NEIGHBORS, LABELS_SQL, """
 f as (select cast(('0x' || substr(sha1('42:' || cell_no || ':' || k), 1, 8))::bigint % 3 as int) as fold, label_h30_m50 from lbl)
 select fold, count(*) as n, sum(label_h30_m50) as positives from f group by 1"""))
 def b5_folds(spark, sf_dir):

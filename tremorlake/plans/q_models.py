@@ -5,12 +5,14 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tremorlake import constants as K
+from tremorlake.functions.heads import HEADS, head_name
 from tremorlake.operators import ensemble, etas, geology, grid, learning, priors, serving
 from tremorlake.plans import sqlparts as S
 from tremorlake.plans.fixtures import AS_OF, quakes
-from tremorlake.plans.q_dataset import dataset
+from tremorlake.plans.q_dataset import LABELS_SQL, dataset
 from tremorlake.plans.q_serving import RECENT, events
 from tremorlake.plans.registry import query
+from tremorlake.session import scratch_path
 
 START, END = RECENT
 P0 = dict(K.ETAS_START)
@@ -141,10 +143,33 @@ def m9_blend(spark, sf_dir):
     return grid.with_cell_id(out).select("cell_id", *ensemble.HEAD, r("p", 9))
 
 
+_SCORED: dict[tuple[str, str], str] = {}
+
+
+def _scored(spark, sf_dir):
+    """Scores of all heads, trained once per application and table folder and kept in the shared folder."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _SCORED:
+        path = scratch_path(spark, "scored")
+        learning.train_and_score_heads(dataset(spark, sf_dir)).write.parquet(path)
+        _SCORED[key] = path
+    return spark.read.parquet(_SCORED[key])
+
+
 @query("m12_m15_learn")
 def m12_m15_learn(spark, sf_dir):
     """Two tree learners, calibration and scores of all heads, trained on the labelled frame."""
-    return learning.train_and_score_heads(dataset(spark, sf_dir))
+    return _scored(spark, sf_dir).drop("brier", "brier_identity")
+
+
+@query("m12_m15_facts", S.stmt(S.QUAKES, S.GRID, S.SNAPS, S.NEIGHBORS, LABELS_SQL, " union all ".join(
+    f"select cell_id, k, {h} as horizon_days, cast({t} as double) as mag_threshold, {head_name(h, t)} as y, true as scores_are_probabilities, true as calibration_helps "
+    "from lbl where snapshot > timestamp '2000-12-31 23:59:00' + interval 60 day" for h, t in HEADS)))
+def m12_m15_facts(spark, sf_dir):
+    """What must hold of every score: later snapshots of every cell and head with their labels, probabilities, no calibrator worse than none."""
+    inside = lambda c: F.col(c).between(0.0, 1.0)
+    return _scored(spark, sf_dir).select("cell_id", "k", "horizon_days", "mag_threshold", "y", (inside("p1") & inside("p2") & inside("p")).alias("scores_are_probabilities"),
+                                         F.coalesce(F.col("brier") <= F.col("brier_identity"), F.lit(True)).alias("calibration_helps"))
 
 
 __all__ = ["AS_OF"]
