@@ -1,15 +1,20 @@
 """The 48-column feature frame per (cell, snapshot).
 
-Snapshots are a regular series: start + k * every days. Events are first condensed to
-slots: two per day, the exact first instant of the day and the rest of it. Every
-window edge falls on a day edge relative to the start, so closed windows are ranges of
-slots, and a hot cell shrinks to at most (days x distinct magnitudes) rows before
-anything is joined or copied to snapshots.
+Snapshots are a regular series: start + k * every days, weekly by default. Events are
+first condensed to slots: two per day, the exact first instant of the day and the rest of
+it. Every window edge falls on a day edge relative to the start, so closed windows are
+ranges of slots, and a hot cell shrinks to at most (days x distinct magnitudes) rows.
+
+Sums over windows come from difference arrays: a condensed row adds its values at the
+first snapshot that sees it and takes them back at the first that no longer does, and
+running totals per cell give every window. So a row is written five times, however many
+snapshots its three years cover. Sums are decimals, so what was added leaves exactly.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass
+from datetime import date, timedelta
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -19,6 +24,7 @@ from tremorlake.functions.geo import center_lat, center_lon, haversine_km
 from tremorlake.operators.catalog_stats import LOG10_E, mc_lookup, with_mc
 from tremorlake.operators.geology import area_labels, fault_type_code
 from tremorlake.operators.grid import neighbors, radius_neighbors
+from tremorlake.session import struct_array
 
 DAY_US = 86_400_000_000
 KEY = ["cell_no", "k"]
@@ -41,6 +47,30 @@ class Snapshots:
     def micros(self, k: Column) -> Column:
         return self.origin + k * self.every * F.lit(DAY_US)
 
+    @classmethod
+    def over(cls, events: DataFrame, every: int = 7) -> "Snapshots":
+        """From midnight of the first event's day to the last event; none without events."""
+        lo, days = events.agg(F.date_format(F.min("time"), "yyyy-MM-dd").alias("lo"), F.floor(
+            (F.unix_micros(F.max("time")) - F.unix_micros(F.date_trunc("day", F.min("time")))) / F.lit(DAY_US)).alias("days")).first()
+        return cls(lo, int(days) // every + 1, every) if lo else cls("1970-01-01", 0, every)
+
+    def enters(self, slot: Column) -> Column:
+        """First snapshot at or after a slot."""
+        return F.greatest(F.lit(0), F.ceil(slot / (2 * self.every)).cast("int"))
+
+    def leaves(self, slot: Column, back_days: int) -> Column:
+        """First snapshot that no longer reaches a slot by looking back so many days."""
+        return F.greatest(F.lit(0), F.floor((slot + 2 * back_days) / (2 * self.every)).cast("int") + 1)
+
+    def epochs(self) -> list[tuple[int, int, int]]:
+        """(first year, first snapshot, snapshot after the last) of the completeness epochs that the series meets."""
+        begin, out = date.fromisoformat(self.start), []
+        for k in range(self.count):
+            year = (begin + timedelta(days=k * self.every)).year
+            first = (year - K.EPOCH_START) // K.EPOCH_YEARS * K.EPOCH_YEARS + K.EPOCH_START
+            out = [*out[:-1], (first, out[-1][1], k + 1)] if out and out[-1][0] == first else [*out, (first, k, k + 1)]
+        return out
+
     def frame(self, spark: SparkSession) -> DataFrame:
         """Every (cell, snapshot), from one range."""
         return spark.range(K.N_CELLS * self.count).select(
@@ -48,9 +78,11 @@ class Snapshots:
 
     def covering(self, slot: Column, back_days: int) -> Column:
         """Generator of the snapshots k with slot in [snapshot - back_days, snapshot]."""
-        step = 2 * self.every
-        first = F.greatest(F.lit(0), F.ceil(slot / step).cast("int"))
-        last = F.least(F.lit(self.count - 1), F.floor((slot + 2 * back_days) / step).cast("int"))
+        return self.between(self.enters(slot), self.leaves(slot, back_days) - 1)
+
+    def between(self, first: Column, last: Column) -> Column:
+        """Generator of the snapshots from first to last."""
+        last = F.least(F.lit(self.count - 1), last)
         return F.explode(F.when(first <= last, F.sequence(first, last)))
 
     def slot(self, time: Column) -> Column:
@@ -65,33 +97,79 @@ def snapshot_times(spark: SparkSession, snaps: Snapshots) -> DataFrame:
 
 def daily(events: DataFrame, snaps: Snapshots) -> DataFrame:
     """Counts and depth sums per (cell, slot, magnitude)."""
+    depth = F.nanvl("depth", F.lit(None).cast("double"))
     return events.where("cell_no is not null").groupBy(
         "cell_no", snaps.slot(F.col("time")).alias("slot"), "magnitude").agg(
-        F.count("*").alias("n"), F.sum("depth").alias("d1"), F.sum(F.col("depth") * F.col("depth")).alias("d2"),
-        F.count_if(F.col("depth").isNull()).alias("dn"), F.min(F.unix_seconds("time")).alias("t0"), F.max(F.unix_seconds("time")).alias("t1"))
+        F.count("*").alias("n"), F.sum(depth.try_cast("decimal(18,9)")).alias("d1"), F.sum((depth * depth).try_cast("decimal(24,9)")).alias("d2"),
+        F.count_if(depth.isNull()).alias("dn"), F.min(F.unix_seconds("time")).alias("t0"), F.max(F.unix_seconds("time")).alias("t1"))
+
+
+_LONG, _EXACT = "bigint", "decimal(38,9)"
+#: Column of a window sum, days it looks back, type of the sum.
+_SUMS = (("n30", 30, _LONG), ("n90", 90, _LONG), ("n365", 365, _LONG), ("n1095", 1095, _LONG), ("d1", 30, _EXACT), ("d2", 30, _EXACT), ("dn", 30, _LONG),
+         ("e30", 30, "decimal(38,22)"), ("e365", 365, "decimal(38,22)"), *((f"bn{d}", d, _LONG) for d in (90, 365, 1095)), *((f"bm{d}", d, _EXACT) for d in (90, 365, 1095)))
+
+
+def _changes(rows: DataFrame, values: dict[str, Column], enter: Column, leave: dict[int, Column]) -> DataFrame:
+    """What is added to (looked back 0) or taken from (looked back d) the sums at a snapshot."""
+    edges = F.array(F.struct(enter.alias("k"), F.lit(0).alias("back")), *[F.struct(k.alias("k"), F.lit(d).alias("back")) for d, k in leave.items()])
+    moved = rows.select("cell_no", *[v.alias(c) for c, v in values.items()], F.inline(edges))
+    sums = {name: (back, kind) for name, back, kind in _SUMS}
+    signed = {c: F.when(F.col("back") == 0, F.col(c)).when(F.col("back") == sums[c][0], -F.col(c)) for c in values}
+    return moved.groupBy(*KEY).agg(*[F.sum(v).cast(sums[c][1]).alias(c) for c, v in signed.items()])
+
+
+def window_sums(condensed: DataFrame, mc_table: DataFrame, snaps: Snapshots) -> DataFrame:
+    """All sums over windows per (cell, snapshot) with an event in three years."""
+    slot, n, m = F.col("slot"), F.col("n"), F.col("magnitude")
+    enter, leave = snaps.enters(slot), {d: snaps.leaves(slot, d) for d in (30, 90, 365, 1095)}
+    energy = (n * F.pow(F.lit(10.0), K.ENERGY_SLOPE * (m - 9.0))).try_cast("decimal(32,22)")  # scaled, so that sums stay near 1
+    plain = _changes(condensed, {"n30": n, "n90": n, "n365": n, "n1095": n, "d1": F.col("d1"), "d2": F.col("d2"), "dn": F.col("dn"), "e30": energy, "e365": energy}, enter, leave)
+    # completeness changes with the snapshot's epoch, so a row takes part in each epoch that its three years meet
+    epochs = struct_array(snaps.epochs() or [(0, 0, 0)], ["epoch", "lo", "hi"])
+    met = condensed.withColumn("e", F.explode(F.filter(epochs, lambda e: (e["lo"] < leave[1095]) & (e["hi"] > enter))))
+    above = with_mc(met.withColumns({"lat": center_lat(F.col("cell_no")), "lon": center_lon(F.col("cell_no"))}), mc_table,
+                    F.make_date(F.col("e.epoch"), F.lit(1), F.lit(1))).where(m >= F.col("mc"))
+    begin = F.greatest(enter, F.col("e.lo"))
+    end = {d: F.greatest(begin, F.least(leave[d], F.col("e.hi"))) for d in (90, 365, 1095)}
+    size = (n * m).try_cast("decimal(28,9)")
+    complete = _changes(above, {**{f"bn{d}": n for d in end}, **{f"bm{d}": size for d in end}}, begin, end)
+    steps = plain.unionByName(complete, allowMissingColumns=True).where(F.col("k") < snaps.count).groupBy(*KEY).agg(
+        *[F.coalesce(F.sum(c), F.lit(0)).cast(kind).alias(c) for c, _, kind in _SUMS])
+    cell = Window.partitionBy("cell_no").orderBy("k")  # one cell's snapshots
+    upto = cell.rowsBetween(Window.unboundedPreceding, 0)
+    held = steps.select("cell_no", "k", F.lead("k", 1, snaps.count).over(cell).alias("next"), *[F.sum(c).over(upto).alias(c) for c, _, _ in _SUMS])
+    whole = [c for c, _, kind in _SUMS if kind == _LONG]
+    return held.where("n1095 > 0").select("cell_no", snaps.between(F.col("k"), F.col("next") - 1).alias("k"), *[
+        F.col(c) if c in whole else F.col(c).cast("double").alias(c) for c, _, _ in _SUMS])
+
+
+def window_ends(condensed: DataFrame, snaps: Snapshots) -> DataFrame:
+    """Maxima of 30 and 90 days, week sums of 84 days, first and last second of a year."""
+    slot = F.col("slot")
+    per_slot = condensed.groupBy("cell_no", "slot").agg(F.max("magnitude").alias("m"), F.sum("n").alias("n"), F.min("t0").alias("t0"), F.max("t1").alias("t1"))
+    near = per_slot.select("cell_no", "slot", "m", "n", snaps.covering(slot, 90).alias("k"))
+    within = lambda days: slot >= F.col("k") * (2 * snaps.every) - 2 * days
+    week = F.least(F.lit(11), F.floor((F.floor(slot / 2) - (F.col("k") * snaps.every - 84)) / 7))
+    recent = near.groupBy(*KEY).agg(
+        F.max(F.when(within(30), F.col("m"))).alias("x30"), F.max("m").alias("x90"),
+        F.sum(F.when(within(84), F.col("n"))).alias("c0"), F.sum(F.when(within(84), F.col("n") * week)).alias("c1"))
+    # a slot is the last one up to the next slot's first snapshot, and the first one once the slot before has left
+    cell = Window.partitionBy("cell_no").orderBy("slot")  # one cell's active days
+    placed = per_slot.withColumns({"later": F.lead("slot").over(cell), "earlier": F.lag("slot").over(cell)}).withColumns({
+        "after": F.when(F.col("later").isNull(), snaps.count).otherwise(snaps.enters(F.col("later"))),
+        "before": F.when(F.col("earlier").isNull(), 0).otherwise(snaps.leaves(F.col("earlier"), 365))})
+    gone = snaps.leaves(slot, 365) - 1
+    last = placed.select("cell_no", "t1", snaps.between(snaps.enters(slot), F.least(F.col("after") - 1, gone)).alias("k"))
+    first = placed.select("cell_no", "t0", snaps.between(F.greatest(snaps.enters(slot), F.col("before")), gone).alias("k"))
+    return recent.unionByName(last, allowMissingColumns=True).unionByName(first, allowMissingColumns=True).groupBy(*KEY).agg(
+        *[F.max(c).alias(c) for c in ("x30", "x90", "c0", "c1", "t0", "t1")])
 
 
 def window_stats(condensed: DataFrame, mc_table: DataFrame, snaps: Snapshots) -> DataFrame:
-    """Counts, maxima, depth, energy, b-values and weekly trend, in one grouped pass."""
-    rows = condensed.withColumn("k", snaps.covering(F.col("slot"), 1095))
-    rows = with_mc(rows.withColumns({"lat": center_lat(F.col("cell_no")), "lon": center_lon(F.col("cell_no"))}),
-                   mc_table, snaps.at(F.col("k")))
-    snap_slot = F.col("k") * (2 * snaps.every)
-    within = lambda days: F.col("slot") >= snap_slot - 2 * days
-    n, m = F.col("n"), F.col("magnitude")
-    total = lambda c, v: F.coalesce(F.sum(F.when(c, v)), F.lit(0))
-    energy = n * F.pow(F.lit(10.0), K.ENERGY_SLOPE * (m - 9.0))  # scaled, so that sums stay near 1
-    week = F.least(F.lit(11), F.floor((F.floor(F.col("slot") / 2) - (F.col("k") * snaps.every - 84)) / 7))
-    above = m >= F.col("mc")
-    g = rows.groupBy(*KEY).agg(
-        total(within(30), n).alias("n30"), total(within(90), n).alias("n90"), total(within(365), n).alias("n365"),
-        F.max(F.when(within(30), m)).alias("x30"), F.max(F.when(within(90), m)).alias("x90"),
-        total(within(30), F.col("d1")).alias("d1"), total(within(30), F.col("d2")).alias("d2"), total(within(30), F.col("dn")).alias("dn"),
-        F.sum(F.when(within(30), energy)).alias("e30"), F.sum(F.when(within(365), energy)).alias("e365"),
-        *[total(within(d) & above, n).alias(f"bn{d}") for d in (90, 365, 1095)],
-        *[F.sum(F.when(within(d) & above, n * m)).alias(f"bm{d}") for d in (90, 365, 1095)],
-        total(within(84), n).alias("c0"), total(within(84), n * week).alias("c1"),
-        F.min(F.when(within(365), F.col("t0"))).alias("t0"), F.max(F.when(within(365), F.col("t1"))).alias("t1"), F.max("mc").alias("mc"))
+    """Counts, maxima, depth, energy, b-values and weekly trend."""
+    g = window_sums(condensed, mc_table, snaps).join(window_ends(condensed, snaps), KEY, "left")
+    g = with_mc(g.withColumns({"lat": center_lat(F.col("cell_no")), "lon": center_lon(F.col("cell_no"))}), mc_table, snaps.at(F.col("k")))
     b = lambda d: F.when(F.col(f"bn{d}") >= 5, F.try_divide(
         F.lit(LOG10_E), F.try_divide(F.col(f"bm{d}"), F.col(f"bn{d}")) - (F.col("mc") - 0.05))).otherwise(1.0)
     some = F.col("n30") > 0
@@ -144,7 +222,8 @@ def b_slopes(events: DataFrame, stats: DataFrame, snaps: Snapshots) -> DataFrame
     """
     busy = stats.where((F.col("event_count_365d") > 50) & (F.col("t1") - F.col("t0") >= 180 * 86400)).select(*KEY, "t0", "t1", "mc")
     width = 90 * 86400
-    per_sec = events.where("cell_no is not null").groupBy("cell_no", F.col("time"), "magnitude").agg(F.count("*").alias("n"))
+    active = F.broadcast(busy.select("cell_no").distinct())  # at most the cells of the grid
+    per_sec = events.where("cell_no is not null").join(active, "cell_no", "left_semi").groupBy("cell_no", F.col("time"), "magnitude").agg(F.count("*").alias("n"))
     rows = per_sec.withColumn("k", snaps.covering(snaps.slot(F.col("time")), 365)).join(busy, KEY).withColumn(
         "off", F.unix_seconds("time") - F.col("t0"))
     first = F.floor(F.col("off") / width)

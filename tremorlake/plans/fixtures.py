@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from tremorlake.session import prepare
 
-SNAP_START, SNAP_COUNT, SNAP_DAYS = "1998-01-01", 14, 91
+SNAP_DAYS = 7  # weekly, over the catalog's whole span
+ISSUES = ("1998-01-01", 14, 91)  # start, number and distance in days of the dates that evaluation scores forecasts at
 AS_OF = "2001-07-01"
 
 
@@ -47,12 +48,6 @@ def quakes(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def snapshots(spark: SparkSession, start: str = SNAP_START, count: int = SNAP_COUNT, every: int = SNAP_DAYS) -> DataFrame:
-    k = F.col("id").cast("int")
-    return spark.range(count).select(k.alias("k"), F.expr(
-        f"timestampadd(DAY, cast(id as int) * {every}, timestamp'{start}')").alias("snapshot"))
-
-
 def stream_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The ``events`` table with a real timestamp."""
     return table(spark, sf_dir, "events").withColumn("ts", F.col("ts").cast("timestamp"))

@@ -11,21 +11,29 @@ from tremorlake.operators import labels as L
 from tremorlake.operators.catalog_stats import mc_lookup
 from tremorlake.operators.grid import with_cell_id, with_cell_no
 from tremorlake.plans import sqlparts as S
-from tremorlake.plans.fixtures import SNAP_COUNT, SNAP_DAYS, SNAP_START, quakes
+from tremorlake.plans.fixtures import SNAP_DAYS, quakes
 from tremorlake.plans.q_events import _MC
 from tremorlake.plans.registry import query
 
-SNAPS = X.Snapshots(SNAP_START, SNAP_COUNT, SNAP_DAYS)
-
-
 def events(spark, sf_dir):
     """Catalog with cell numbers; depth 0 stands for a missing depth."""
     return with_cell_no(quakes(spark, sf_dir)).withColumn("depth", F.nullif("depth", F.lit(0.0)))
 
 
+_SNAPS: dict[tuple[str, str], X.Snapshots] = {}
+
+
+def weekly(spark, sf_dir) -> X.Snapshots:
+    """Weekly snapshots over the span of the catalog, found once per application and table folder."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _SNAPS:
+        _SNAPS[key] = X.Snapshots.over(quakes(spark, sf_dir), SNAP_DAYS)
+    return _SNAPS[key]
+
+
 def stats(spark, sf_dir):
-    ev = events(spark, sf_dir)
-    return X.window_stats(X.daily(ev, SNAPS), mc_lookup(ev), SNAPS)
+    ev, snaps = events(spark, sf_dir), weekly(spark, sf_dir)
+    return X.window_stats(X.daily(ev, snaps), mc_lookup(ev), snaps)
 
 
 def named(df, *cols):
@@ -52,9 +60,10 @@ _BASE = (S.QUAKES, S.GRID, S.SNAPS, _W)
 @query("b1_snapshots", S.stmt(S.QUAKES, S.SNAPS, "select k, snapshot, count(event_id) as n_before from snaps left join quakes on time <= snapshot group by 1,2"))
 def b1_snapshots(spark, sf_dir):
     """Regular snapshots with the number of events before each."""
-    snaps = X.snapshot_times(spark, SNAPS)
-    step = SNAPS.every * X.DAY_US
-    first = F.greatest(F.lit(0), F.ceil((F.unix_micros("time") - SNAPS.origin) / F.lit(float(step))).cast("int"))
+    series = weekly(spark, sf_dir)
+    snaps = X.snapshot_times(spark, series)
+    step = series.every * X.DAY_US
+    first = F.greatest(F.lit(0), F.ceil((F.unix_micros("time") - series.origin) / F.lit(float(step))).cast("int"))
     per = quakes(spark, sf_dir).groupBy(first.alias("k")).agg(F.count("*").alias("n"))
     from pyspark.sql import Window
     upto = Window.orderBy("k").rowsBetween(Window.unboundedPreceding, 0)  # one row per snapshot
@@ -108,8 +117,9 @@ slope as (select cell_no, k, regr_slope(log10(exp(1e0))/(ma-(mc-5e-2)), w*9e1) a
 def a5_b_slope(spark, sf_dir):
     """Cells are merged to bands of five grid rows, so that groups are busy enough to qualify."""
     ev = events(spark, sf_dir).withColumn("cell_no", (F.floor(F.col("cell_no") / 460) * 460).cast("int"))
-    busy = X.window_stats(X.daily(ev, SNAPS), mc_lookup(ev), SNAPS)
-    return named(X.b_slopes(ev, busy, SNAPS), r("b_value_slope_1y", 9))
+    snaps = weekly(spark, sf_dir)
+    busy = X.window_stats(X.daily(ev, snaps), mc_lookup(ev), snaps)
+    return named(X.b_slopes(ev, busy, snaps), r("b_value_slope_1y", 9))
 
 
 _GAPS = f"""gp as (select cell_no, k, epoch_us(time)//1000000 - lag(epoch_us(time)//1000000) over (partition by cell_no, k order by time, event_id) as g from win where {_d(30)}),
@@ -118,7 +128,7 @@ iet as (select cell_no, k, case when count(*) >= 3 then avg(g) else 0 end as mu,
 
 @query("a6_gap_stats", S.stmt(*_BASE, _GAPS, "select cell_id, k, round(mu, 4) as iet_mean_30d, round(cv, 5) as iet_cv_30d from iet join grid using (cell_no)"))
 def a6_gap_stats(spark, sf_dir):
-    return named(X.gap_stats(events(spark, sf_dir), SNAPS), r("iet_mean_30d", 4), r("iet_cv_30d", 5))
+    return named(X.gap_stats(events(spark, sf_dir), weekly(spark, sf_dir)), r("iet_mean_30d", 4), r("iet_cv_30d", 5))
 
 
 _LAST = """lst as (select e.cell_no, s.k, (epoch_us(any_value(s.snapshot)) - epoch_us(max(time) filter (where magnitude >= 4)))/864e8 as t4,
@@ -127,7 +137,7 @@ _LAST = """lst as (select e.cell_no, s.k, (epoch_us(any_value(s.snapshot)) - epo
 
 @query("a7_time_since", S.stmt(*_BASE, _LAST, "select cell_id, k, round(t4, 8) as time_since_last_M4_days, round(t5, 8) as time_since_last_M5_days from lst join grid using (cell_no)"))
 def a7_time_since(spark, sf_dir):
-    return named(X.last_large(events(spark, sf_dir), SNAPS), r("time_since_last_M4_days", 8), r("time_since_last_M5_days", 8))
+    return named(X.last_large(events(spark, sf_dir), weekly(spark, sf_dir)), r("time_since_last_M4_days", 8), r("time_since_last_M5_days", 8))
 
 
 _TREND = f"""bn as (select cell_no, k, least(11, (epoch_us(time) - epoch_us(snapshot) + 84*86400000000)//604800000000) as x from win where {_d(84)}),
@@ -165,7 +175,7 @@ short as materialized (select cell_no, k, {', '.join(_SHORT_COLS)} from sh group
 
 @query("a10_short_term", S.stmt(*_BASE, _SHORT, f"select cell_id, k, {', '.join(X.short_term_columns())} from short join grid using (cell_no)"))
 def a10_short_term(spark, sf_dir):
-    out = X.short_term(events(spark, sf_dir), SNAPS)
+    out = X.short_term(events(spark, sf_dir), weekly(spark, sf_dir))
     return named(out, *[F.round(F.coalesce(F.col(c), F.lit(K.MISSING_FAR)), 6).alias(c) if c.startswith("nearest") else r(c) for c in X.short_term_columns()])
 
 
@@ -179,7 +189,7 @@ from grid g cross join snaps s left join st using (cell_no, k) left join slope s
 left join nb using (cell_no, k) left join short sh using (cell_no, k) join geo f using (cell_no)"""))
 def a11_features(spark, sf_dir):
     """The assembled frame, all cells and snapshots; a slice of its columns is compared."""
-    out = X.build_features(events(spark, sf_dir), SNAPS)
+    out = X.build_features(events(spark, sf_dir), weekly(spark, sf_dir))
     return out.select("cell_id", "k", "event_count_30d", "max_mag_30d", r("b_value_1095d"), r("b_value_slope_1y", 9), r("iet_mean_30d", 4),
                       r("time_since_last_M4_days", 8), r("activity_trend_90d"), r("neighbor_event_count_30d_mean"), "count_M45_7d_r300km",
                       r("nearest_M5_dist_km"), r("slab_depth_km"), F.lit(len(X.feature_columns())).alias("n_features"))
@@ -188,7 +198,7 @@ def a11_features(spark, sf_dir):
 @query("a11_frame")
 def a11_frame(spark, sf_dir):
     """The whole frame: every feature of every cell and snapshot (a1 to a11 compare its parts with SQL)."""
-    return X.build_features(events(spark, sf_dir), SNAPS).select("cell_id", "k", *X.feature_columns())
+    return X.build_features(events(spark, sf_dir), weekly(spark, sf_dir)).select("cell_id", "k", *X.feature_columns())
 
 
 LABELS_SQL = """buf as (select cell_no as target, other_no as cell_no from nbr union all select cell_no, cell_no from grid),
@@ -200,23 +210,23 @@ lbl as materialized (select g.cell_no, g.cell_id, s.k, s.snapshot, """ + ", ".jo
 
 @query("b2_labels", S.stmt(S.QUAKES, S.GRID, S.SNAPS, S.NEIGHBORS, LABELS_SQL, f"select cell_id, k, {', '.join(head_columns())} from lbl"))
 def b2_labels(spark, sf_dir):
-    return named(L.build_labels(events(spark, sf_dir), SNAPS), *head_columns())
+    return named(L.build_labels(events(spark, sf_dir), weekly(spark, sf_dir)), *head_columns())
 
 
 @query("a18_positive_rates", S.stmt(S.QUAKES, S.GRID, S.SNAPS, S.NEIGHBORS, LABELS_SQL, "select " + ", ".join(f"round(avg({c}), 9) as {c}" for c in head_columns()) + " from lbl"))
 def a18_positive_rates(spark, sf_dir):
-    return L.positive_rates(L.build_labels(events(spark, sf_dir), SNAPS)).select(*[r(c, 9) for c in head_columns()])
+    return L.positive_rates(L.build_labels(events(spark, sf_dir), weekly(spark, sf_dir))).select(*[r(c, 9) for c in head_columns()])
 
 
 def dataset(spark, sf_dir):
     """Features and labels of every cell and snapshot, all columns."""
-    return L.join_dataset(X.build_features(events(spark, sf_dir), SNAPS), L.build_labels(events(spark, sf_dir), SNAPS))
+    return L.join_dataset(X.build_features(events(spark, sf_dir), weekly(spark, sf_dir)), L.build_labels(events(spark, sf_dir), weekly(spark, sf_dir)))
 
 
 @query("j1_dataset", S.stmt(*_BASE, S.NEIGHBORS, LABELS_SQL, f"""c30 as (select cell_no, k, count(*) as n from win where {_d(30)} group by 1,2)
 select cell_id, k, cast(coalesce(n, 0) as double) as event_count_30d, label_h30_m50, label_h7_m45 from lbl left join c30 using (cell_no, k)"""))
 def j1_dataset(spark, sf_dir):
-    return L.join_dataset(X.build_features(events(spark, sf_dir), SNAPS), L.build_labels(events(spark, sf_dir), SNAPS)).select(
+    return L.join_dataset(X.build_features(events(spark, sf_dir), weekly(spark, sf_dir)), L.build_labels(events(spark, sf_dir), weekly(spark, sf_dir))).select(
         "cell_id", "k", "event_count_30d", "label_h30_m50", "label_h7_m45")
 
 
@@ -227,7 +237,7 @@ select k, split, count(*) as n, cast((select count(*) from quakes where cell_no
 def b4_time_split(spark, sf_dir):
     """The default years leave train full and validation empty; the relative rule answers (1998-2001)."""
     total = events(spark, sf_dir).where("cell_no is not null").agg(F.count("*").alias("n_events"))
-    split = L.time_split(L.build_labels(events(spark, sf_dir), SNAPS))
+    split = L.time_split(L.build_labels(events(spark, sf_dir), weekly(spark, sf_dir)))
     out = split.groupBy("k", "split").agg(F.count("*").alias("n")).withColumn("one", F.lit(1))
     return out.join(total.withColumn("one", F.lit(1)), "one").drop("one")
 
@@ -236,5 +246,5 @@ def b4_time_split(spark, sf_dir):
 f as (select cast(('0x' || substr(sha1('42:' || cell_no || ':' || k), 1, 8))::bigint % 3 as int) as fold, label_h30_m50 from lbl)
 select fold, count(*) as n, sum(label_h30_m50) as positives from f group by 1"""))
 def b5_folds(spark, sf_dir):
-    return L.folds(L.build_labels(events(spark, sf_dir), SNAPS), ["cell_no", "k"]).groupBy("fold").agg(
+    return L.folds(L.build_labels(events(spark, sf_dir), weekly(spark, sf_dir)), ["cell_no", "k"]).groupBy("fold").agg(
         F.count("*").alias("n"), F.sum("label_h30_m50").alias("positives"))

@@ -10,10 +10,11 @@ from tremorlake.operators import backtest as B
 from tremorlake.operators import evaluation as E
 from tremorlake.operators import geology, grid, priors, serving
 from tremorlake.operators import labels as L
+from tremorlake.operators.features import Snapshots
 from tremorlake.plans import sqlparts as S
-from tremorlake.plans.fixtures import quakes
+from tremorlake.plans.fixtures import ISSUES, quakes
 from tremorlake.plans.q_catalog import RUNS_SQL, archive_dir
-from tremorlake.plans.q_dataset import LABELS_SQL, SNAPS, events
+from tremorlake.plans.q_dataset import LABELS_SQL, events
 from tremorlake.plans.q_serving import _HIGH, current
 from tremorlake.plans.registry import query
 from tremorlake.sources import store
@@ -26,7 +27,7 @@ def scored(spark, sf_dir):
     """Labels of every cell, snapshot and head with Poisson scores of the years before,
     and two baselines: the catalog-wide rate and the long-run Poisson map."""
     ev = events(spark, sf_dir)
-    labels = to_long(L.build_labels(ev, SNAPS), ["cell_no", "k"], "y").withColumn("y", F.col("y").cast("int"))
+    labels = to_long(L.build_labels(ev, Snapshots(*ISSUES)), ["cell_no", "k"], "y").withColumn("y", F.col("y").cast("int"))
     first = ev.agg(F.min("time").cast("string").alias("t")).first()["t"]
     wins = [("model", "1995-01-01 00:00:00", "1998-01-01 00:00:00"), ("long", first, "2001-07-01 00:00:00")]
     both = priors.poisson_forecast(ev, priors.run_windows(spark, wins), 2)
@@ -36,7 +37,7 @@ def scored(spark, sf_dir):
 
 
 _T0, _T1 = "timestamp '1995-01-01'", "timestamp '1998-01-01'"
-_SCORED = (S.QUAKES, S.GRID, S.SNAPS, S.HEADS, S.NEIGHBORS, LABELS_SQL, S.poisson("mdl", _T0, _T1), S.poisson("lng", S.QMIN, S.ASOF), f"""
+_SCORED = (S.QUAKES, S.GRID, S.ISSUE_DATES, S.HEADS, S.NEIGHBORS, LABELS_SQL, S.poisson("mdl", _T0, _T1), S.poisson("lng", S.QMIN, S.ASOF), f"""
 span as (select greatest(1e0, epoch(max(time)-min(time))/86400e0) as days from quakes),
 flat as (select horizon_days, mag_threshold, round(greatest(1e-7, 1-exp(-((select count(*) from quakes where magnitude>=mag_threshold)/(3128e0*days))*horizon_days)), 9) as p from heads, span),
 yl as (select cell_no, k, u.horizon_days as horizon_days, u.mag_threshold as mag_threshold, u.y as y from (select cell_no, k, unnest([{_LONG}]) as u from lbl)),

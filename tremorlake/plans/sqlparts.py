@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from tremorlake import constants as K
-from tremorlake.plans.fixtures import AS_OF, SNAP_COUNT, SNAP_DAYS, SNAP_START
+from tremorlake.plans.fixtures import AS_OF, ISSUES, SNAP_DAYS
 from tremorlake.session import literal
 
 
@@ -64,8 +64,11 @@ GRID = """grid as materialized (select cast(i*92+j as int) as cell_no, -11e0+i*5
     "-11e0+i*5e-1+25e-2", "95e0+j*5e-1+25e-2") + """ as cell_id
   from range(34) r(i), range(92) s(j))"""
 
-SNAPS = f"""snaps as (select cast(k as int) as k, timestamp '{SNAP_START}' + to_days(cast(k*{SNAP_DAYS} as int)) as snapshot
-  from range({SNAP_COUNT}) t(k))"""
+SNAPS = f"""snaps as materialized (select cast(k as int) as k, lo + to_days(cast(k*{SNAP_DAYS} as int)) as snapshot
+  from (select lo, unnest(range(date_diff('day', lo, hi)//{SNAP_DAYS} + 1)) as k from (select date_trunc('day', min(time))::timestamp as lo, max(time) as hi from quakes)))"""
+
+ISSUE_DATES = f"""snaps as (select cast(k as int) as k, timestamp '{ISSUES[0]}' + to_days(cast(k*{ISSUES[2]} as int)) as snapshot
+  from range({ISSUES[1]}) t(k))"""
 
 NEIGHBORS = f"""nbr as materialized (select cell_no, other_no, dist_km, rnk from (
   select a.cell_no, b.cell_no as other_no, {hav('a.lat', 'a.lon', 'b.lat', 'b.lon')} as dist_km,
