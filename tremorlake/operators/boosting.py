@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from tremorlake.session import scratch_path
 
 #: Distinct rows of bins that models are fitted on at most; beyond, a share of them by hash of the bins.
-FIT_ROWS = 200_000
+FIT_ROWS = 40_000
 BINS, DEPTH, STEP = 32, 4, 0.08
 SMOOTH, LEAST_WEIGHT = 1.0, 1.0  #: added to a node's weight; a child weighs at least so much
 #: Learners: share of the features and of the rows that a tree sees.

@@ -153,7 +153,7 @@ def train_and_score_heads(dataset: DataFrame, rounds: int = 200) -> DataFrame:
         df.write.parquet(path)
         return spark.read.schema(df.schema).parquet(path)
 
-    split = held(prepared(time_split(dataset), features), "dataset")
+    split = time_split(held(prepared(dataset, features), "dataset"))
     train, val, test = (split.where(F.col("split") == s) for s in ("train", "val", "test"))
     heads, none = list(range(len(labels))), F.lit(boosting.FULL)
     spread = val.agg(*[(F.min(c) < F.max(c)).alias(c) for c in labels]).first()
