@@ -2,7 +2,7 @@ import pandas as pd
 import pytest
 
 from tests.helpers import EPOCH, frame, km, swarm
-from tremorlake.operators import decluster, dedup
+from tremorlake.operators import decluster, dedup, graph
 
 ORDER = {"usgs": 0, "emsc": 1, "bmkg": 2}
 SCORE = {"bmkg": 3, "usgs": 2, "emsc": 1}
@@ -88,3 +88,28 @@ def test_aftershock_sequence(spark):
                         "mag_type": "mb", "source": "usgs", "place": "x"} for i, d, lat, m in rows])
     got = {r.event_id: (r.is_mainshock, r.cluster_id) for r in decluster.decluster(frame(spark, df)).collect()}
     assert got == {"m": (True, 0), "a": (False, 0), "b": (False, 0), "c": (False, 0), "far": (True, -1)}
+
+
+def test_components_of_paths_stars_and_loops(spark):
+    edges = [(i, i + 1) for i in range(200)] + [(1000, i) for i in range(1001, 1300)] + [(2000, 2001), (2001, 2002), (2002, 2000), (5, 5)]
+    got = {r.node: r.root for r in graph.components(spark.createDataFrame(edges, "u long, v long")).collect()}
+    assert got == {**dict.fromkeys(range(201), 0), **dict.fromkeys(range(1000, 1300), 1000), **dict.fromkeys(range(2000, 2003), 2000)}
+    assert graph.components(spark.createDataFrame([], "u long, v long")).isEmpty()
+
+
+def test_dense_swarm_settles_in_few_rounds(spark):
+    """One component cut in many stretches: the number of rounds does not follow the number of stretches."""
+    fold = dedup._fold(600, 100.0, 0.5, True)
+    rounds = []
+    for n in (300, 1200):
+        df = swarm(n, seed=n, minutes=n, spread=1.0)
+        base = frame(spark, df).selectExpr("event_id", "unix_micros(time) as t", "lat", "lon", "magnitude as mag",
+                                           "map('bmkg', 3, 'usgs', 2, 'emsc', 1)[source] as score", "-magnitude as nm")
+        units = dedup._units(base, 600, 100.0, 60).checkpoint()
+        found, counts = dedup._settle(units, fold)
+        expect, _ = greedy_clusters(df, 600, 100.0, 0.5, True)
+        got = {r.event_id: r.seed for r in found.collect()}
+        assert got == {e: expect[e] for e in got} and len(got) > 0.9 * n
+        assert counts[0] >= n // 60 and sum(counts) <= 4 * counts[0]
+        rounds.append(len(counts))
+    assert max(rounds) <= 6

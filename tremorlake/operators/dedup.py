@@ -7,13 +7,15 @@ candidates; no group of rows is ever gathered whole, and no pairs are emitted.
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tremorlake import constants as K
-from tremorlake.operators.scan import ranged
+from tremorlake.operators.graph import components
+from tremorlake.operators.scan import running_totals
 from tremorlake.session import scratch_root
 
 _COARSE_T, _COARSE_DEG = 4 * K.DEDUP_SECONDS * 1_000_000, 4 * K.DEDUP_DEG
@@ -86,12 +88,12 @@ def dedup_events(events: DataFrame) -> DataFrame:
 # --- leader clustering ----------------------------------------------------------------
 
 _STATE = "seed string, order_t long, order_m double, t long, lat double, lon double, mag double, score int, rep string"
-_MEMBER = "event_id string, seed string"
+_STATE_NAMES = [c.split()[0] for c in _STATE.split(", ")]
 _ROW = ["t", "lat", "lon", "mag"]
 
 
 def _same_place(lat, lon, row, km: float):
-    """Vectorised distance test against the open clusters of one chunk."""
+    """Vectorised distance test against the open clusters of one unit."""
     import numpy as np
     a = np.radians(lat)
     b = np.radians(row.lat)
@@ -100,12 +102,11 @@ def _same_place(lat, lon, row, km: float):
 
 
 def _fold(seconds: int, km: float, mag_window: float | None, by_score: bool) -> Callable:
-    """Assign the rows of one bounded chunk, starting from the clusters still open."""
+    """Assign the rows of one bounded unit, starting from the clusters still open."""
     def run(rows: pd.DataFrame, state: pd.DataFrame) -> pd.DataFrame:
         import numpy as np
         limit = seconds * 1_000_000
-        live = [list(r) for r in state.sort_values(["order_t", "order_m", "seed"])[
-            ["seed", "order_t", "order_m", "t", "lat", "lon", "mag", "score", "rep"]].itertuples(index=False)]
+        live = [list(r) for r in state.sort_values(["order_t", "order_m", "seed"])[_STATE_NAMES].itertuples(index=False)]
         done, members = [], []
         for row in rows.sort_values(["t", "nm", "event_id"]).itertuples(index=False):
             closed = [c for c in live if row.t - c[3] > limit]
@@ -125,14 +126,83 @@ def _fold(seconds: int, km: float, mag_window: float | None, by_score: bool) ->
             elif row.mag > hit[6] or (by_score and row.mag == hit[6] and row.score > hit[7]):
                 hit[3:] = [row.t, row.lat, row.lon, row.mag, row.score, row.event_id]
             members.append((row.event_id, hit[0], row.t, row.mag, row.score))
-        part = int(rows["part"].iloc[0]) if len(rows) else int(state["part"].iloc[0])
-        out = [("m", part, e, s, t, 0.0, t, 0.0, 0.0, m, sc, "") for e, s, t, m, sc in members]
-        # clusters that may still meet a row of the next chunk
-        out += [("s", part, "", *c) for c in live]
-        return pd.DataFrame(out, columns=["kind", "part", "event_id", "seed", "order_t", "order_m", "t", "lat", "lon", "mag", "score", "rep"])
+        unit, part = rows["unit"].iloc[0], int(rows["part"].iloc[0])
+        out = [("m", unit, part, e, s, t, 0.0, t, 0.0, 0.0, m, sc, "") for e, s, t, m, sc in members]
+        # clusters that may still meet a row of the next stretch
+        out += [("s", unit, part, "", *c) for c in live]
+        return pd.DataFrame(out, columns=["kind", "unit", "part", "event_id", *_STATE_NAMES])
     return run
 
 
+def _units(singles: DataFrame, seconds: int, km: float, unit_rows: int) -> DataFrame:
+    """Rows that any other row may reach, with their unit of work (unit, part, last).
+
+    Each row stands in the space-time buckets that a box of half the limits around it
+    touches; two rows within the limits share a bucket. Buckets of one row are connected,
+    and no row of one component can ever meet a row of another. Small components share
+    units by hash; one beyond ``unit_rows`` is cut into stretches of that many rows in
+    time order.
+    """
+    deg = km / 111.0 + 0.01
+    width_t, width_d = 4 * seconds * 1_000_000, 4 * deg
+    lon_margin = deg / F.greatest(F.cos(F.radians(F.least(F.abs("lat") + deg, F.lit(89.0)))), F.lit(0.02))
+    reach = lambda v, m, w: F.explode(F.sequence(F.floor((v - m) / w), F.floor((v + m) / w)))
+    spread = (singles.select("event_id", "t", "lat", "lon")
+              .withColumn("a", reach(F.col("t"), F.lit(seconds * 500_000), width_t))
+              .withColumn("b", reach(F.col("lat"), F.lit(deg / 2), width_d)).withColumn("c", reach(F.col("lon"), lon_margin / 2, width_d)))
+    busy = spread.groupBy("a", "b", "c").agg(F.count("*").alias("n")).where("n > 1").drop("n")
+    stands = spread.join(busy, ["a", "b", "c"], "left_semi").select("event_id", F.struct("a", "b", "c").alias("bucket")).checkpoint()
+    home = stands.groupBy("event_id").agg(F.min("bucket").alias("home"))
+    edges = stands.join(home, "event_id").select(F.col("bucket").alias("u"), F.col("home").alias("v"))
+    tops = components(edges)
+    placed = home.join(tops.withColumnRenamed("node", "home"), "home", "left").select(
+        "event_id", F.coalesce("root", "home").alias("comp"))
+    crowd = singles.join(placed, "event_id").checkpoint()
+    sizes = crowd.groupBy("comp").agg(F.count("*").alias("n")).where(F.col("n") > unit_rows)
+    whole = crowd.join(sizes, "comp", "left_anti")
+    units = max(1, -(-crowd.count() // unit_rows))
+    name = F.concat_ws(":", *[F.col(f"comp.{c}").cast("string") for c in "abc"])
+    packed = whole.withColumns({"unit": F.pmod(F.xxhash64(name), F.lit(units)).cast("string"), "part": F.lit(0), "last": F.lit(0)})
+    if sizes.isEmpty():
+        return packed.drop("comp")
+    cut = crowd.join(sizes, "comp").withColumns({"unit": name, "_one": F.lit(1).cast("bigint")}).drop("comp")
+    cut = running_totals(cut, ["unit"], ["t", "nm", "event_id"], {"_pos": "_one"}).withColumns({
+        "part": F.floor(F.col("_pos") / unit_rows).cast("int"), "last": F.floor((F.col("n") - 1) / unit_rows).cast("int")})
+    return packed.drop("comp").unionByName(cut.drop("n", "_one", "_pos"))
+
+
+def _settle(rows: DataFrame, fold: Callable) -> tuple[DataFrame, list[int]]:
+    """(event_id, seed) of all rows, and how many units each round has run.
+
+    All units run once without a hand-over. Then the stretch behind a unit runs again if
+    the clusters handed to it are not those it started from, and so on. The first k
+    stretches of a component are final after k rounds; as clusters close quickly, a
+    stretch mostly ends in the same state however it started, and few run a third time.
+    """
+    spark = rows.sparkSession
+    keys, state = ["unit", "part"], [F.col(c) for c in _STATE_NAMES]
+    schema = f"kind string, unit string, part int, event_id string, {_STATE}"
+    rows = rows.checkpoint()
+    todo = rows.select(*keys, "last").distinct().checkpoint()
+    used = handed = spark.createDataFrame([], f"unit string, part int, {_STATE}")
+    done, counts = [], []
+    while True:
+        counts.append(todo.count())
+        work = rows.join(todo.select(*keys), keys, "left_semi") if done else rows
+        out = work.groupBy(*keys).cogroup(handed.groupBy(*keys)).applyInPandas(fold, schema).checkpoint()
+        done = [d.join(todo.select(*keys), keys, "left_anti") for d in done] + [out.where("kind = 'm'").select(*keys, "event_id", "seed")]
+        used = used.join(todo.select(*keys), keys, "left_anti").unionByName(handed).checkpoint()
+        behind = todo.where("part < last").select("unit", (F.col("part") + 1).alias("part"), "last")
+        fresh = out.where("kind = 's'").select("unit", (F.col("part") + 1).alias("part"), *state).join(
+            behind.select(*keys), keys, "left_semi").checkpoint()
+        before = used.join(behind.select(*keys), keys, "left_semi")
+        dirty = fresh.exceptAll(before).select(*keys).union(before.exceptAll(fresh).select(*keys)).distinct()
+        todo = behind.join(dirty, keys, "left_semi").checkpoint()
+        if todo.isEmpty():
+            return reduce(DataFrame.unionByName, done).select("event_id", "seed"), counts
+        handed = fresh.join(todo.select(*keys), keys, "left_semi").checkpoint()
+
+
 def leader_clusters(events: DataFrame, seconds: int = K.CANONICAL_SECONDS, km: float = K.CANONICAL_KM,
                     mag_window: float | None = K.CANONICAL_MAG, by_score: bool = True, chunk_rows: int = 50_000) -> DataFrame:
     """Membership (event_id, seed) of greedy leader clustering in (time, -magnitude, id).
@@ -144,43 +214,19 @@ def leader_clusters(events: DataFrame, seconds: int = K.CANONICAL_SECONDS, km: f
     * identical reports (time, place, magnitude) always share a cluster and act like
       the best-ranked one, so they collapse first;
     * rows with no other row in reach are clusters by themselves;
-    * the rest are cut into chunks of bounded size in time order. Chunks run in
-      parallel from the clusters handed over by the chunk before; the hand-over is
-      repeated until it no longer changes, at which point it equals the sequential run.
+    * the rest run in components of space-time buckets, which cannot touch each other;
+      a component beyond ``chunk_rows`` is cut in time, and a stretch runs again only if
+      what the stretch before hands over has changed (``_settle``). At the end nothing
+      changes, so the result is that of the sequential rule.
     """
-    spark = events.sparkSession
-    scratch_root(spark)
+    scratch_root(events.sparkSession)
     score = F.coalesce(F.element_at(F.create_map(*[F.lit(v) for p in K.CANONICAL_SOURCE_SCORE for v in p]), F.lower("source")), F.lit(0))
     base = events.where("time is not null and lat is not null and lon is not null and magnitude is not null").select(
         "event_id", F.unix_micros("time").alias("t"), "lat", "lon", F.col("magnitude").alias("mag"), score.alias("score"))
     first = base.groupBy(*_ROW).agg(F.min("event_id").alias("head"), F.max("score").alias("score"))
     singles = first.withColumnRenamed("head", "event_id").withColumn("nm", -F.col("mag")).checkpoint()
-
-    # rows that share a coarse space-time cell with any other row
-    deg = km / 111.0 + 0.01
-    width_t, width_d = 4 * seconds * 1_000_000, 4 * deg
-    lon_margin = deg / F.greatest(F.cos(F.radians(F.least(F.abs("lat") + deg, F.lit(89.0)))), F.lit(0.02))
-    reach = lambda v, m, w: F.explode(F.sequence(F.floor((v - m) / w), F.floor((v + m) / w)))
-    spread = (singles.select("event_id", "t", "lat", "lon", "mag")
-              .withColumn("a", reach(F.col("t"), F.lit(seconds * 500_000), width_t))
-              .withColumn("b", reach(F.col("lat"), F.lit(deg / 2), width_d)).withColumn("c", reach(F.col("lon"), lon_margin / 2, width_d)))
-    busy = spread.groupBy("a", "b", "c").agg(F.count("*").alias("n")).where("n > 1").drop("n")
-    crowd = singles.join(spread.join(busy, ["a", "b", "c"], "left_semi").select("event_id").distinct(), "event_id", "left_semi")
-
-    parts = max(1, -(-crowd.count() // chunk_rows))
-    chunks = ranged(crowd, ["t", "nm", "event_id"], parts)
-    handed = spark.createDataFrame([], f"part int, {_STATE}")
-    fold = _fold(seconds, km, mag_window, by_score)
-    schema = f"kind string, part int, event_id string, {_STATE}"
-    out = None
-    for _ in range(parts + 1):  # the first k chunks are final after k rounds
-        out = chunks.groupBy("part").cogroup(handed.groupBy("part")).applyInPandas(fold, schema).checkpoint()
-        fresh = out.where(f"kind = 's' and part < {parts - 1}").select(
-            (F.col("part") + 1).alias("part"), *[c.split()[0] for c in _STATE.split(", ")]).checkpoint()
-        if fresh.exceptAll(handed).isEmpty() and handed.exceptAll(fresh).isEmpty():
-            break
-        handed = fresh
-    found = out.where("kind = 'm'").select("event_id", "seed")
+    crowd = _units(singles, seconds, km, chunk_rows)
+    found, _ = _settle(crowd, _fold(seconds, km, mag_window, by_score))
     whole = singles.select("event_id").join(found, "event_id", "left").select("event_id", F.coalesce("seed", "event_id").alias("seed"))
     heads = first.select(*_ROW, "head")
     return base.join(heads, _ROW).join(whole.withColumnRenamed("event_id", "head"), "head").select("event_id", "seed")

@@ -9,6 +9,7 @@ from tremorlake.operators import catalog_stats, decluster, dedup, grid
 from tremorlake.plans import sqlparts as S
 from tremorlake.plans.fixtures import AS_OF, quakes
 from tremorlake.plans.registry import query
+from tremorlake.session import literal
 
 _ROUNDS = """e as materialized (select event_id, time, lat, lon, magnitude, source, epoch_us(time) as us, epoch_us(time)//60000000 as tb,
   row_number() over (order by case source when 'usgs' then 0 when 'emsc' then 1 when 'bmkg' then 2 else 9 end, time, event_id) as rk from quakes),
@@ -29,13 +30,44 @@ def d1_j9_dedup(spark, sf_dir):
     return dedup.dedup_events(quakes(spark, sf_dir)).select("event_id", "source", "magnitude")
 
 
-@query("d2_canonical_events")
+def _greedy(where: str, seconds: int, km: float, alike: str, better: str) -> str:
+    """Membership by the sequential rule: step n takes the n-th report of every component at once."""
+    reach = f"abs(r.us - c.us) <= {seconds * 1_000_000} and {S.hav_atan2('r.lat', 'r.lon', 'c.lat', 'c.lon')} <= {literal(km)}"
+    return f"""rp as materialized (select event_id, time, epoch_us(time) as us, lat, lon, depth, magnitude, source, epoch_us(time)//{seconds * 1_000_000} as tb,
+  case source when 'bmkg' then 3 when 'usgs' then 2 when 'emsc' then 1 else 0 end as score from quakes where {where}),
+pairs as materialized (select r.event_id as a, c.event_id as b from rp r join (select *, unnest([tb-1, tb, tb+1]) as tk from rp) c on r.tb = c.tk
+  where abs(r.lat-c.lat) <= {literal(km / 111 + 0.01)} and {reach}),
+reached(a, b) as (select event_id, event_id from rp union select g.a, p.b from reached g join pairs p on p.a = g.b),
+comp as (select a as event_id, min(b) as comp from reached group by 1),
+steps as materialized (select *, row_number() over (partition by comp order by us, -magnitude, event_id) as n from rp join comp using (event_id)),
+run(comp, n, event_id, seed, cs) as (
+  select comp, n, event_id, event_id, [struct_pack(seed := event_id, us := us, lat := lat, lon := lon, magnitude := magnitude, score := score)] from steps where n = 1
+  union all select comp, n, event_id, case when hit is null then event_id else cs[hit].seed end,
+    case when hit is null then list_append(cs, me)
+      else list_transform(cs, lambda c, i: case when i = hit and ({better}) then struct_pack(seed := c.seed, us := me.us, lat := me.lat, lon := me.lon, magnitude := me.magnitude, score := me.score) else c end) end
+  from (select r.comp, r.n, r.event_id, p.cs, nullif(list_position(list_transform(p.cs, lambda c: {reach} and {alike}), true), 0) as hit,
+      struct_pack(seed := r.event_id, us := r.us, lat := r.lat, lon := r.lon, magnitude := r.magnitude, score := r.score) as me
+    from run p join steps r on r.comp = p.comp and r.n = p.n + 1)),
+canon as materialized (select seed, arg_min(struct_pack(time := time, lat := lat, lon := lon, depth := depth, magnitude := magnitude, source := source),
+    (-magnitude, {'-score' if 'score' in better else '0'}, us, event_id)) as r, count(distinct source) as source_count, count(*) as member_count
+  from run join rp using (event_id) group by 1),
+ce as (select seed, r.time as time, r.lat as lat, r.lon as lon, r.depth as depth_km, r.magnitude as magnitude, r.source as primary_source, source_count, member_count,
+  'ce_' || sha1(strftime(r.time, '%Y%m%dT%H%M%S') || ':' || printf('%.3f', r.lat) || ':' || printf('%.3f', r.lon) || ':' || printf('%.1f', r.magnitude)) as canonical_id from canon)"""
+
+
+_CANON = _greedy("true", K.CANONICAL_SECONDS, K.CANONICAL_KM, f"abs(r.magnitude - c.magnitude) <= {literal(K.CANONICAL_MAG)}",
+                 "me.magnitude > c.magnitude or (me.magnitude = c.magnitude and me.score > c.score)")
+_WIDE = _greedy("magnitude >= 5", K.BACKTEST_SECONDS, K.BACKTEST_KM, "true", "me.magnitude > c.magnitude")
+
+
+@query("d2_canonical_events", S.stmt(S.QUAKES, _CANON, """select canonical_id, seed, time, lat, lon, depth_km, magnitude, cast(null as varchar) as place,
+  primary_source, cast(source_count as int) as source_count, member_count from ce""", recursive=True))
 def d2_canonical_events(spark, sf_dir):
     q = quakes(spark, sf_dir)
-    return dedup.canonical_events(q, dedup.leader_clusters(q)).drop("sources")
+    return dedup.canonical_events(q, dedup.leader_clusters(q)).drop("sources").withColumn("time", F.col("time").cast("timestamp_ntz"))
 
 
-@query("d2_canonical_members")
+@query("d2_canonical_members", S.stmt(S.QUAKES, _CANON, "select event_id, seed from run", recursive=True))
 def d2_canonical_members(spark, sf_dir):
     """Long membership: which report belongs to which first report."""
     return dedup.leader_clusters(quakes(spark, sf_dir))
@@ -53,14 +85,15 @@ def d3_canonical_id(spark, sf_dir):
     return quakes(spark, sf_dir).select("event_id", dedup.canonical_id(F.col("time"), F.col("lat"), F.col("lon"), F.col("magnitude")).alias("canonical_id"))
 
 
-@query("d4_canonical_stats")
+@query("d4_canonical_stats", S.stmt(S.QUAKES, _CANON, """select (select count(*) from quakes) as raw_events, count(*) as canonical_events,
+  count(*) filter (where source_count > 1) as multi_source_events, max(time) as latest_time, (select count(*) from quakes) - count(*) as deduped_events from ce""", recursive=True))
 def d4_canonical_stats(spark, sf_dir):
     q = quakes(spark, sf_dir)
     return dedup.canonical_stats(q, dedup.canonical_events(q, dedup.leader_clusters(q))).withColumn(
         "latest_time", F.col("latest_time").cast("timestamp_ntz"))
 
 
-@query("d5_backtest_dedup")
+@query("d5_backtest_dedup", S.stmt(S.QUAKES, _WIDE, "select seed, lat, lon, magnitude, primary_source, member_count from ce", recursive=True))
 def d5_backtest_dedup(spark, sf_dir):
     """Wide limits, any magnitude difference, strictly larger magnitude leads."""
     large = quakes(spark, sf_dir).where("magnitude >= 5")
