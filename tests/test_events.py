@@ -113,3 +113,15 @@ def test_dense_swarm_settles_in_few_rounds(spark):
         assert counts[0] >= n // 60 and sum(counts) <= 4 * counts[0]
         rounds.append(len(counts))
     assert max(rounds) <= 6
+
+
+def test_decluster_of_one_crowded_bucket(spark, monkeypatch):
+    """All events within reach of each other: short shells go first, the parents are the same."""
+    df = swarm(1500, seed=4, minutes=300, spread=0.012)
+    shells = []
+    real = decluster._candidates
+    monkeypatch.setattr(decluster, "_candidates", lambda *a: shells.append(a[3:]) or real(*a))
+    got = {r.event_id: (r.is_mainshock, r.cluster_id) for r in decluster.decluster(frame(spark, df)).collect()}
+    main, cluster = sequential_decluster(df)
+    assert got == {e: (main[e], cluster[e]) for e in main}
+    assert shells[0][1] < 43_200
