@@ -111,3 +111,20 @@ def test_prefix_filter_loses_no_similar_pair(spark):
     got = {(r.u, r.v) for r in near_text._sharing(held.selectExpr("node", "node as root"), held).collect()}
     want = {(i, j) for i, a in enumerate(sets) for j, b in enumerate(sets[:i]) if a and b and near(a, b)}
     assert len(want) > 50 and want <= got
+
+
+def test_fingerprint_classes_bring_copies_together(spark, monkeypatch):
+    """Without any band, long texts with a changed word still meet by their SimHash; short ones that only share it stay apart."""
+    monkeypatch.setattr(near_text, "_band_cells", lambda points: points.selectExpr("node as key", "node", "false as leading").limit(0))
+    rng = random.Random(5)
+    texts = []
+    for _ in range(5):
+        base = prose(rng, 900).split()
+        texts += [" ".join(base), " ".join([*base[:-1], "changed"])]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    from tremorlake.llm import simhash
+    linked = {(r.doc_id, r.component_id) for r in simhash.near_groups(docs).collect()}
+    root = groups([shingles(t) for t in texts])
+    expected = sorted({i for i, r in enumerate(root) if i == r or (i, r) not in linked})
+    assert len(expected) < len(texts)
+    assert sorted(r.doc_id for r in corpus_pipeline.near_dedup(spark, docs, "").collect()) == expected

@@ -1,4 +1,7 @@
-"""Near copies by common five-word shingles: MinHash bands bring pairs together, the exact Jaccard similarity decides.
+"""Near copies by common five-word shingles: SimHash classes and MinHash bands bring pairs together, the exact Jaccard similarity decides.
+
+Texts whose fingerprints link at 2 differing bits (``simhash.near_groups``) meet first; the
+bands bring together similar texts whose fingerprints lie further apart.
 
 A band value that few texts share is compared pair by pair. Where many share one, texts
 are first compared with the most central of them, and what is still apart meets by a
@@ -17,6 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tremorlake.llm import simhash
 from tremorlake.llm.common import map_batches, stored
 from tremorlake.llm.components import components
 
@@ -207,6 +211,19 @@ def links(cells: DataFrame, sets: DataFrame) -> DataFrame:
     return edges.unionByName(_links(pairs, sets, "links"))
 
 
+def _fingerprint_cells(docs: DataFrame, seen: DataFrame) -> DataFrame:
+    """(key, node, leading): the nodes of each class of linked SimHash fingerprints, copies of one text as one."""
+    marked = docs.select(F.xxhash64("text").alias("mark"), "text")
+    classes = simhash.near_groups(marked, row="mark").select("mark", F.col("component_id").alias("class")).distinct()
+    placed = seen.select("mark", "node").distinct().join(classes, "mark")
+    return placed.select(F.xxhash64(F.lit("simhash"), "class").alias("key"), "node", F.lit(True).alias("leading")).distinct()
+
+
+def _band_cells(points: DataFrame) -> DataFrame:
+    """(key, node, leading): the nodes of each band value."""
+    return points.select("node", F.posexplode("bands").alias("band", "key")).select("key", "node", (F.col("band") < LEADING).alias("leading"))
+
+
 def near_groups(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(doc_id, mark, node) of every row and (node, root) of every node that has a near copy.
 
@@ -216,7 +233,7 @@ def near_groups(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     kind = dict(docs.dtypes)["doc_id"]
     seen = stored(map_batches(marked, _sketches, f"doc_id {kind}, mark bigint, node bigint, bands array<bigint>"), "sketches")
     points = stored(seen.groupBy("node").agg(F.min(F.struct("doc_id", "mark")).alias("one"), F.first("bands").alias("bands")), "points")
-    cells = points.select("node", F.posexplode("bands").alias("band", "key")).select("key", "node", (F.col("band") < LEADING).alias("leading"))
+    cells = _fingerprint_cells(docs, seen).unionByName(_band_cells(points))
     twice = cells.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
     cells = stored(cells.join(twice, "key", "left_semi"), "cells")
     need = points.join(cells.select("node").distinct(), "node", "left_semi").select("one.doc_id", "one.mark")
