@@ -18,10 +18,15 @@ from tremorlake.sources import store
 from tremorlake.streaming import flows
 
 
+FILE_ROWS = 1_000_000  #: rows of one file of a slice, about
+
+
 def _as_stream(df, name, time=None, batches=4):
     """Land a frame as files and read them back as a stream of several micro-batches.
 
-    With ``time`` the files are slices of ascending time, landed one after the other.
+    With ``time`` the batches are slices of ascending time, landed one after the other. A large
+    slice is several files by ``key``: what one key has in a slice stays in one file, so its
+    slices come in order however files are dealt to batches.
     """
     spark = df.sparkSession
     path = scratch_path(spark, name)
@@ -32,11 +37,13 @@ def _as_stream(df, name, time=None, batches=4):
         df.withColumn("_at", F.unix_micros(F.col(time)) if dict(df.dtypes)[time] == "timestamp" else F.col(time).cast("bigint")).write.parquet(held)
         landed = spark.read.parquet(held)
         cuts = landed.approxQuantile("_at", [i / batches for i in range(1, batches)], 0.01)
+        files = max(1, -(-landed.count() // (batches * FILE_ROWS)))
         for i in range(batches):
             low = F.lit(True) if i == 0 or not cuts else F.col("_at") > cuts[i - 1]
             high = F.lit(True) if i == batches - 1 or not cuts else F.col("_at") <= cuts[i]
-            landed.where(low & high).drop("_at").coalesce(1).write.mode("append").parquet(path)
-    return spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(path)
+            one = landed.where(low & high).drop("_at")
+            (one.coalesce(1) if files == 1 else one.repartition(files, "key")).write.mode("append").parquet(path)
+    return spark.readStream.schema(df.schema).option("maxFilesPerTrigger", files if time else 1).parquet(path)
 
 
 @query("x1_stream_ingest", S.stmt(S.QUAKES, "select event_id, time, lat, lon, depth, magnitude, source from quakes"))

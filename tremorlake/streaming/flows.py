@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -67,20 +68,24 @@ def triggers(ticks: DataFrame, debounce_min: int = K.DEBOUNCE_MIN, fallback_min:
     """
     def decide(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         pending, last = state.get if state.exists else (0, -1)
-        rows = pd.concat(list(batches)).sort_values("tick")
-        out = []
-        for tick, n_new in zip(rows["tick"], rows["n_new"]):
-            now, pending = int(tick.timestamp()), pending + int(n_new)
+        parts = [(b["tick"].to_numpy(), b["n_new"].to_numpy()) for b in batches]
+        ticks, new = (np.concatenate(x) for x in zip(*parts))
+        order = np.argsort(ticks, kind="stable")
+        ticks, seconds = ticks[order], np.trunc(ticks[order].astype("datetime64[us]").astype(np.int64) / 1e6).astype(np.int64)
+        held, reasons = [], []
+        for now, n_new in zip(seconds.tolist(), new[order].tolist()):
+            pending += n_new
             age = None if last < 0 else now - last
             if pending > 0:
                 reason = "debounced" if age is not None and age < debounce_min * 60 else "new_events"
             else:
                 reason = "fallback" if age is None or age >= fallback_min * 60 else "no_new_events"
-            out.append((key[0], tick, pending, reason))
+            held.append(pending)
+            reasons.append(reason)
             if reason in ("new_events", "fallback"):
                 pending, last = 0, now
         state.update((pending, last))
-        yield pd.DataFrame(out, columns=["key", "tick", "pending", "reason"])
+        yield pd.DataFrame({"key": key[0], "tick": ticks, "pending": held, "reason": reasons})
 
     return ticks.groupBy("key").applyInPandasWithState(
         decide, "key string, tick timestamp, pending long, reason string", "pending long, last long", "append", GroupStateTimeout.NoTimeout)
