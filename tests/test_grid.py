@@ -59,3 +59,14 @@ def test_decoding_both_id_forms(spark):
     df = spark.createDataFrame([("Cm108_p952",), ("C_-1.25_120.75",)], "id string")
     rows = df.select(geo.id_center(F.col("id"), 0), geo.id_center(F.col("id"), 1)).collect()
     assert tuple(rows[0]) == (-10.8, 95.2) and tuple(rows[1]) == (-1.25, 120.75)
+
+
+def test_points_are_labelled_in_their_rows(spark):
+    """Keys that differ need no join; repeated keys give what the joins by key give, and rows without a key go."""
+    rows = [(1, -6.2, 106.8), (2, 5.5, 95.3), (3, -30.0, 80.0), (4, None, 120.0)]
+    kind = "id int, lat double, lon double"
+    alone = geology.label_points(spark.createDataFrame(rows, kind), "id")
+    assert "Join" not in alone._jdf.queryExecution().optimizedPlan().toString()
+    assert sorted(alone.collect()) == sorted(geology._label_by_key(spark.createDataFrame(rows, kind), "id").collect())
+    twice = spark.createDataFrame([*rows, rows[0], (2, 1.0, 101.0), (None, 0.0, 110.0)], kind)
+    assert sorted(geology.label_points(twice, "id").collect()) == sorted(geology._label_by_key(twice, "id").collect())
