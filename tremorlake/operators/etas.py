@@ -26,6 +26,7 @@ from tremorlake.session import inline
 
 PARAMS = ("mu", "k", "c", "p", "alpha")
 _BLOCK = 256
+_NEAR = 64  #: events that meet pair by pair before the exponentials take over
 
 
 def exponentials(c: float, p: float, span: float, step: float = 0.3) -> tuple[np.ndarray, np.ndarray]:
@@ -48,10 +49,14 @@ def window_length(spark, start: str, end: str) -> float:
 
 
 def log_likelihoods(past: DataFrame, t_end: float, candidates: list[dict], mc: float = K.ETAS_MC, chunk_rows: int = 50_000) -> DataFrame:
-    """Log-likelihood of every candidate, all in the same two passes over the catalog."""
+    """Log-likelihood of every candidate, all in the same two passes over the catalog.
+
+    Powers and exponentials depend on c and p alone; candidates that differ in alpha share them.
+    """
     spark = past.sparkSession
     shapes = sorted({(q["c"], q["p"], q["alpha"]) for q in candidates})
     nodes = [exponentials(c, p, t_end) for c, p, _ in shapes]
+    decays = [[j for j, x in enumerate(shapes) if x[:2] == d] for d in sorted({x[:2] for x in shapes})]
     members = [[(i, q["mu"], q["k"]) for i, q in enumerate(candidates) if (q["c"], q["p"], q["alpha"]) == s] for s in shapes]
     n = past.count()
     if n == 0:
@@ -61,11 +66,12 @@ def log_likelihoods(past: DataFrame, t_end: float, candidates: list[dict], mc: f
     def summarise(key, g: pd.DataFrame) -> pd.DataFrame:
         t, m = g["t"].to_numpy(), g["m"].to_numpy()
         out = []
-        for j, (s, _) in enumerate(nodes):
-            weight, total = np.exp(shapes[j][2] * (m - mc)), np.zeros(len(s))
+        for js in decays:
+            s = nodes[js[0]][0]
+            weight, total = np.exp(np.outer([shapes[j][2] for j in js], m - mc)), np.zeros((len(js), len(s)))
             for a in range(0, len(t), _BLOCK):
-                total += weight[a:a + _BLOCK] @ np.exp(-np.outer(t.max() - t[a:a + _BLOCK], s))
-            out.append((int(key[0]), j, float(t.max()), total.tolist()))
+                total += weight[:, a:a + _BLOCK] @ np.exp(-np.outer(t.max() - t[a:a + _BLOCK], s))
+            out += [(int(key[0]), j, float(t.max()), x.tolist()) for j, x in zip(js, total)]
         return pd.DataFrame(out, columns=["part", "shape", "t_last", "total"])
 
     sums = rows.groupBy("part").applyInPandas(summarise, "part int, shape int, t_last double, total array<double>")
@@ -86,17 +92,17 @@ def log_likelihoods(past: DataFrame, t_end: float, candidates: list[dict], mc: f
         g = g.sort_values(["t", "event_id"])
         t, m = g["t"].to_numpy(), g["m"].to_numpy()
         out = []
-        for j, at, first in zip(c["shape"], c["at"], c["state"]):
-            cc, p, alpha = shapes[j]
-            s, w = nodes[j]
-            weight, state, at = np.exp(alpha * (m - mc)), np.asarray(first), float(min(at, t[0]))
-            before = np.empty(len(t))
-            for a in range(0, len(t), _BLOCK):
-                tb, gb = t[a:a + _BLOCK], weight[a:a + _BLOCK]
-                gap = tb[:, None] - tb[None, :]
-                own = np.tril((np.abs(gap) + cc) ** -p, -1) @ gb
-                older = np.exp(-np.outer(tb - at + cc, s)) @ (w * state)
-                before[a:a + _BLOCK] = own + older
+        first = dict(zip(c["shape"], c["state"]))
+        for js in decays:
+            cc, p, _ = shapes[js[0]]
+            s, w = nodes[js[0]]
+            weight, at = np.exp(np.outer([shapes[j][2] for j in js], m - mc)), float(min(c["at"].iloc[0], t[0]))
+            state, before = np.array([first[j] for j in js]), np.empty((len(js), len(t)))
+            for a in range(0, len(t), _NEAR):
+                tb, gb = t[a:a + _NEAR], weight[:, a:a + _NEAR]
+                own = gb @ np.tril((np.abs(tb[:, None] - tb[None, :]) + cc) ** -p, -1).T
+                older = (w * state) @ np.exp(-np.outer(tb - at + cc, s)).T
+                before[:, a:a + _NEAR] = own + older
                 state = state * np.exp(-s * (tb[-1] - at)) + gb @ np.exp(-np.outer(tb[-1] - tb, s))
                 at = float(tb[-1])
             left = t_end - t
@@ -104,10 +110,11 @@ def log_likelihoods(past: DataFrame, t_end: float, candidates: list[dict], mc: f
                 mass = np.log((left + cc) / max(cc, K.ETAS_EPS))
             else:
                 mass = ((left + cc) ** (1 - p) - cc ** (1 - p)) / (1 - p)
-            mass = float(np.sum((weight * mass)[t < t_end]))
-            for i, mu, k in members[j]:
-                logs = float(np.sum(np.log(np.maximum(mu + k * before, K.ETAS_EPS))))
-                out.append((i, logs - k * mass))
+            mass = (weight * mass)[:, t < t_end].sum(axis=1)
+            for n, j in enumerate(js):
+                for i, mu, k in members[j]:
+                    logs = float(np.sum(np.log(np.maximum(mu + k * before[n], K.ETAS_EPS))))
+                    out.append((i, logs - k * float(mass[n])))
         return pd.DataFrame(out, columns=["candidate", "ll"])
 
     parts = rows.groupBy("part").cogroup(carried.groupBy("part")).applyInPandas(score, "candidate int, ll double")
