@@ -248,6 +248,17 @@ def test_shards_of_odd_rows(odd, nothing):
     assert resharding.reshard(nothing).collect() == []
 
 
+def test_rewritten_texts_are_not_shuffled_again(spark, odd):
+    """Reading the shards back joins their places without an exchange of the documents, whatever the session's limit is."""
+    limit = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = resharding.reshard(odd, 3, 4)._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
+    assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
+
+
 def test_stages_keep_the_columns(spark, odd, nothing):
     sf = "/root/testdata/sf0.001"
     for docs in (odd, nothing):

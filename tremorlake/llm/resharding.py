@@ -119,7 +119,8 @@ def rewrite(assigned: DataFrame, folder: str, shards: int) -> DataFrame:
     back = spark.read.schema(dealt.schema).parquet(folder).withColumn("_task", F.shiftright("_at", 33))
     tasks = back.groupBy("shard", "_task").agg(F.count("*").alias("_n"), F.min("_at").alias("_low"))
     before = Window.partitionBy("shard").orderBy("_task").rowsBetween(Window.unboundedPreceding, -1)
-    base = tasks.select("shard", "_task", "_low", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_base"))
+    # At most a row for each task and shard; unhinted, the join would shuffle every text once more.
+    base = F.broadcast(tasks.select("shard", "_task", "_low", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_base")))
     return back.join(base, ["shard", "_task"]).withColumn("slot", F.col("_at") - F.col("_low") + F.col("_base")).drop("_at", "_task", "_low", "_base")
 
 
