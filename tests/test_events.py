@@ -97,6 +97,28 @@ def test_components_of_paths_stars_and_loops(spark):
     assert graph.components(spark.createDataFrame([], "u long, v long")).isEmpty()
 
 
+def test_bounded_components_lump_long_paths_only(spark):
+    paths = [(i, i + 1) for i in range(10, 400)] + [(i, i + 1) for i in range(500, 900)]
+    edges = paths + [(1000, i) for i in range(1001, 1300)] + [(2000, 2001), (2001, 2002)]
+    got = {r.node: r.root for r in graph.components(spark.createDataFrame(edges, "u long, v long"), 2).collect()}
+    long = dict.fromkeys([*range(10, 401), *range(500, 901)], 10)
+    assert got == {**long, **dict.fromkeys(range(1000, 1300), 1000), **dict.fromkeys(range(2000, 2003), 2000)}
+
+
+def test_clusters_of_a_long_chain_take_few_rounds(spark, monkeypatch):
+    """Reports that follow each other for days are one chain of buckets; it runs in stretches of time."""
+    calls = []
+    real = graph._small_star
+    monkeypatch.setattr(graph, "_small_star", lambda e: calls.append(1) or real(e))
+    df = swarm(400, seed=11, minutes=12_000, spread=1.5)
+    expect, _ = greedy_clusters(df, 600, 100.0, 0.5, True)
+    assert {r.event_id: r.seed for r in dedup.leader_clusters(frame(spark, df), chunk_rows=60).collect()} == expect
+    before = len(calls)
+    chain = [(i, i + 1) for i in range(3000)]
+    graph.components(spark.createDataFrame(chain, "u long, v long"), dedup._STAR_ROUNDS)
+    assert before <= dedup._STAR_ROUNDS and len(calls) - before == dedup._STAR_ROUNDS
+
+
 def test_dense_swarm_settles_in_few_rounds(spark):
     """One component cut in many stretches: the number of rounds does not follow the number of stretches."""
     fold = dedup._fold(600, 100.0, 0.5, True)

@@ -18,6 +18,8 @@ from tremorlake.operators.graph import components
 from tremorlake.operators.scan import running_totals
 from tremorlake.session import scratch_root
 
+#: Rounds in which components of buckets are told apart; longer chains of buckets run as one unit, cut in time.
+_STAR_ROUNDS = 4
 _COARSE_T, _COARSE_DEG = 4 * K.DEDUP_SECONDS * 1_000_000, 4 * K.DEDUP_DEG
 
 
@@ -105,7 +107,7 @@ def _fold(seconds: int, km: float, mag_window: float | None, by_score: bool) ->
     """Assign the rows of one bounded unit, starting from the clusters still open."""
     def run(rows: pd.DataFrame, state: pd.DataFrame) -> pd.DataFrame:
         import numpy as np
-        limit = seconds * 1_000_000
+        limit, deg = seconds * 1_000_000, km / 111.0 + 0.01
         live = [list(r) for r in state.sort_values(["order_t", "order_m", "seed"])[_STATE_NAMES].itertuples(index=False)]
         done, members = [], []
         for row in rows.sort_values(["t", "nm", "event_id"]).itertuples(index=False):
@@ -114,12 +116,10 @@ def _fold(seconds: int, km: float, mag_window: float | None, by_score: bool) ->
                 done += closed
                 live = [c for c in live if row.t - c[3] <= limit]
             hit = None
-            if live:
-                ok = _same_place(np.array([c[4] for c in live]), np.array([c[5] for c in live]), row, km)
-                if mag_window is not None:
-                    ok &= np.abs(np.array([c[6] for c in live]) - row.mag) <= mag_window
-                where = np.flatnonzero(ok)
-                hit = live[where[0]] if len(where) else None
+            near = [c for c in live if abs(c[4] - row.lat) <= deg and (mag_window is None or abs(c[6] - row.mag) <= mag_window)]
+            if near:
+                where = np.flatnonzero(_same_place(np.array([c[4] for c in near]), np.array([c[5] for c in near]), row, km))
+                hit = near[where[0]] if len(where) else None
             if hit is None:
                 hit = [row.event_id, row.t, row.nm, row.t, row.lat, row.lon, row.mag, row.score, row.event_id]
                 live.append(hit)
@@ -139,9 +139,10 @@ def _units(singles: DataFrame, seconds: int, km: float, unit_rows: int) -> DataF
 
     Each row stands in the space-time buckets that a box of half the limits around it
     touches; two rows within the limits share a bucket. Buckets of one row are connected,
-    and no row of one component can ever meet a row of another. Small components share
-    units by hash; one beyond ``unit_rows`` is cut into stretches of that many rows in
-    time order.
+    and no row of one component can ever meet a row of another. Components that a few
+    rounds don't tell apart are long chains, as in a dense catalog, and count as one.
+    Small components share units by hash; one beyond ``unit_rows`` is cut into stretches
+    of that many rows in time order.
     """
     deg = km / 111.0 + 0.01
     width_t, width_d = 4 * seconds * 1_000_000, 4 * deg
@@ -154,7 +155,7 @@ def _units(singles: DataFrame, seconds: int, km: float, unit_rows: int) -> DataF
     stands = spread.join(busy, ["a", "b", "c"], "left_semi").select("event_id", F.struct("a", "b", "c").alias("bucket")).checkpoint()
     home = stands.groupBy("event_id").agg(F.min("bucket").alias("home"))
     edges = stands.join(home, "event_id").select(F.col("bucket").alias("u"), F.col("home").alias("v"))
-    tops = components(edges)
+    tops = components(edges, _STAR_ROUNDS)
     placed = home.join(tops.withColumnRenamed("node", "home"), "home", "left").select(
         "event_id", F.coalesce("root", "home").alias("comp"))
     crowd = singles.join(placed, "event_id").checkpoint()

@@ -22,9 +22,33 @@ def _small_star(edges: DataFrame) -> DataFrame:
     return below.unionByName(least.select("u", F.col("m").alias("v"))).distinct()
 
 
-def components(edges: DataFrame) -> DataFrame:
+def _roots(edges: DataFrame) -> DataFrame:
+    """(node, root) of stars: every node of ``edges`` leads to its centre."""
+    tops = edges.select("v").distinct().select(F.col("v").alias("node"), F.col("v").alias("root"))
+    return edges.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(tops)
+
+
+def _lumped(edges: DataFrame, forked: DataFrame) -> DataFrame:
+    """(node, root) where all components that are not single stars yet count as one, named by its least node.
+
+    In such a component each centre has a member with another centre, or is itself a member.
+    """
+    centres = edges.select(F.col("v").alias("u")).distinct()
+    linked = edges.join(forked.select("u").unionByName(centres).distinct(), "u", "left_semi")
+    loose = linked.select("v").unionByName(linked.join(centres, "u", "left_semi").select(F.col("u").alias("v"))).distinct().checkpoint()
+    found = _roots(edges).join(loose.select(F.col("v").alias("root"), F.lit(True).alias("loose")), "root", "left")
+    least = F.broadcast(loose.agg(F.min("v").alias("least")))  # one row
+    named = found.crossJoin(least).select("node", F.when(F.col("loose"), F.col("least")).otherwise(F.col("root")).alias("root"))
+    own = named.join(loose.select(F.col("v").alias("node")), "node", "left_anti")
+    return own.unionByName(loose.crossJoin(least).select(F.col("v").alias("node"), F.col("least").alias("root"))).distinct()
+
+
+def components(edges: DataFrame, rounds: int | None = None) -> DataFrame:
     """(node, root) for every node of ``edges`` (u, v): root is the least node it is connected with.
 
+    With ``rounds`` the work stops after so many; components that are not settled by then,
+    those with long paths, come out as one with a common root.
+
     Large and small stars alternate until every edge leads to a root; their number grows
     with the logarithm of the longest path. Nodes may have any orderable type. A node
     with many edges is a join key on one side only, where the other side is unique, so
@@ -32,9 +56,12 @@ def components(edges: DataFrame) -> DataFrame:
     """
     scratch_root(edges.sparkSession)
     edges = edges.where("u != v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct().checkpoint()
+    done = 0
     while True:
         edges = _small_star(_large_star(edges)).checkpoint()
         forked = edges.groupBy("u").count().where("count > 1")
         if forked.isEmpty() and edges.join(edges.select(F.col("u").alias("v")), "v", "left_semi").isEmpty():
-            tops = edges.select("v").distinct().select(F.col("v").alias("node"), F.col("v").alias("root"))
-            return edges.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(tops)
+            return _roots(edges)
+        done += 1
+        if done == rounds:
+            return _lumped(edges, forked)
