@@ -27,6 +27,20 @@ def test_a_compressed_side_of_many_rows_is_not_broadcast(spark, settings, tmp_pa
     assert "Broadcast" not in plan._jdf.queryExecution().executedPlan().toString()
 
 
+def test_a_limit_nobody_has_set_is_bounded(spark, settings, tmp_path):
+    """Spark's own 10 MB hold in a session that names no limit."""
+    path = str(tmp_path / "rows")
+    spark.range(1_000_000).selectExpr("hash(id) as u", "id % 7 as v").write.parquet(path)
+    for key in KEYS:
+        settings.unset(key)
+    prepare(spark)
+    assert size_bytes(settings.get(KEYS[0])) == BROADCAST_MOST
+    side = spark.read.parquet(path)
+    plan = side.join(spark.read.parquet(path).withColumnRenamed("v", "w"), "u")
+    assert plan.count() > 0
+    assert "Broadcast" not in plan._jdf.queryExecution().executedPlan().toString()
+
+
 def test_a_lower_limit_stays(spark, settings):
     settings.set(KEYS[0], "-1")
     settings.set(KEYS[1], "1g")
