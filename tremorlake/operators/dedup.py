@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from tremorlake import constants as K
 from tremorlake.operators.graph import components
 from tremorlake.operators.scan import running_totals
-from tremorlake.session import scratch_root
+from tremorlake.session import event_sized, scratch_root
 
 #: Rounds in which components of buckets are told apart; longer chains of buckets run as one unit, cut in time.
 _STAR_ROUNDS = 4
@@ -71,12 +71,12 @@ def kept_events(events: DataFrame) -> DataFrame:
     while True:
         leaders = open_events.groupBy("f0", "f1", "f2", "f3").agg(
             F.min(F.struct("rank", "t", "lat", "lon", "mag")).alias("l")).select("l.*")
-        near = open_events.join(_spread(leaders), "cell", "left")
+        near = open_events.join(event_sized(_spread(leaders)), "cell", "left")
         worse = F.filter("leaders", lambda o: (o["rank"] > F.col("rank")) & _alike(o))
         blocked = near.select(F.explode(F.transform(worse, lambda o: o["rank"]["id"])).alias("event_id")).distinct()
-        won = leaders.withColumn("event_id", F.col("rank.id")).join(blocked, "event_id", "left_anti").checkpoint()
+        won = leaders.withColumn("event_id", F.col("rank.id")).join(event_sized(blocked), "event_id", "left_anti").checkpoint()
         kept = won.select("event_id") if kept is None else kept.unionByName(won.select("event_id"))
-        rest = open_events.join(_spread(won), "cell", "left").where(
+        rest = open_events.join(event_sized(_spread(won)), "cell", "left").where(
             ~F.coalesce(F.exists("leaders", _alike), F.lit(False))).drop("leaders").checkpoint()
         if rest.isEmpty():
             return kept
@@ -84,7 +84,7 @@ def kept_events(events: DataFrame) -> DataFrame:
 
 
 def dedup_events(events: DataFrame) -> DataFrame:
-    return events.join(kept_events(events), "event_id", "left_semi")
+    return events.join(event_sized(kept_events(events)), "event_id", "left_semi")
 
 
 # --- leader clustering ----------------------------------------------------------------
