@@ -1,9 +1,13 @@
 """Event-sized sides of joins stay off the driver, whatever the session's broadcast limit is when a plan is made."""
 
+import re
+
 import pytest
 
 from tests.helpers import frame, swarm
-from tremorlake.operators import dedup
+from tremorlake.operators import dedup, features
+from tremorlake.operators.catalog_stats import mc_lookup
+from tremorlake.operators.grid import with_cell_no
 
 KEYS = ("spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.autoBroadcastJoinThreshold")
 
@@ -41,3 +45,13 @@ def test_dedup_sends_no_events_to_the_driver(events, plans):
     plans.append(plan(dedup.dedup_events(events)))
     assert sum("SortMergeJoin" in p for p in plans) >= 3
     assert not [p for p in plans if "Broadcast" in p]
+
+
+def test_slopes_send_no_windows_to_the_driver(events, plans):
+    """Completeness (36 rows) and busy cells are small; what has a row for each cell and snapshot is not."""
+    events = with_cell_no(events)
+    snaps = features.Snapshots.over(events, 7)
+    stats = features.window_stats(features.daily(events, snaps), mc_lookup(events), snaps)
+    joins = plan(features.b_slopes(events, stats, snaps))
+    assert "SortMergeJoin [cell_no" in joins
+    assert not re.findall(r"BroadcastHashJoin \[cell_no#\d+, k#\d+.*", joins)
