@@ -5,7 +5,7 @@ import re
 import pytest
 
 from tests.helpers import frame, swarm
-from tremorlake.operators import dedup, features
+from tremorlake.operators import decluster, dedup, features
 from tremorlake.operators.catalog_stats import mc_lookup
 from tremorlake.operators.grid import with_cell_no
 
@@ -47,6 +47,15 @@ def test_dedup_sends_no_events_to_the_driver(events, plans):
     assert not [p for p in plans if "Broadcast" in p]
 
 
+@pytest.mark.parametrize("a_row", [decluster.PAIRS_A_ROW, 0])
+def test_decluster_sends_no_events_to_the_driver(events, plans, monkeypatch, a_row):
+    """With and without the pass that leaves out rows of no use; carries of the numbering are a row for each part."""
+    monkeypatch.setattr(decluster, "PAIRS_A_ROW", a_row)
+    plans.append(plan(decluster.decluster(events)))
+    assert sum("SortMergeJoin" in p for p in plans) >= 3
+    assert not re.findall(r"BroadcastHashJoin \[(?!part#).*", "\n".join(plans))
+
+
 def test_slopes_send_no_windows_to_the_driver(events, plans):
     """Completeness (36 rows) and busy cells are small; what has a row for each cell and snapshot is not."""
     events = with_cell_no(events)
