@@ -58,6 +58,24 @@ def test_models_of_folds_do_not_see_their_rows(spark):
     assert np.array_equal(again[0, 0, 1].leaf, models[0, 0, 1].leaf) and not np.array_equal(again[0, 0, 0].leaf, models[0, 0, 0].leaf)
 
 
+def test_models_are_fitted_on_all_rows(spark):
+    """More kinds of rows than the 40,000 that fitting was once bounded by: the trees are those of all rows."""
+    names = ["a", "b", "c"]
+    x = [F.pmod(F.xxhash64("id", F.lit(i)), F.lit(1 << 20)).cast("double").alias(c) for i, c in enumerate(names)]
+    df = spark.range(60_000).select(*x, F.pmod(F.col("id"), F.lit(3)).cast("int").alias("fold"), F.pmod(F.xxhash64("id"), F.lit(5)).cast("int").alias("r")).withColumn(
+        "y", ((F.col("a") > 600_000) | (F.col("r") == 0)).cast("int"))
+    edges = boosting.bin_edges(df, names)
+    held = df.toPandas()
+    bins = np.stack([np.searchsorted(e, held[c].to_numpy(), side="left") for c, e in zip(names, edges)], 1).astype(np.uint8)
+    assert len({*map(tuple, np.column_stack([bins, held["fold"]]).tolist())}) > 40_000
+    wanted = [(0, 0, boosting.FULL), (0, 0, 1)]
+    models = boosting.fit_models(df, names, ["y"], edges, wanted, F.col("fold"), 3)
+    for i, w in enumerate(wanted):
+        own = held["fold"].to_numpy() != w[2]
+        plain = boosting.fit_forest(bins[own], np.ones(own.sum()), held["y"].to_numpy(float)[own], 3, boosting.LEARNERS[0], 42 + i)
+        assert np.array_equal(models[w].feature, plain.feature) and np.array_equal(models[w].cut, plain.cut) and np.allclose(models[w].leaf, plain.leaf, rtol=1e-9, atol=0)
+
+
 def test_learner_query_trains_and_scores_all_heads(spark):
     """The query itself, with all rounds."""
     got = q_models.m12_m15_learn(spark, "/root/testdata/sf0.001").groupBy("horizon_days", "mag_threshold").agg(
