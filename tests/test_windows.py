@@ -91,3 +91,42 @@ def test_windows_match_plain_sums(spark, data, every):
             week = np.minimum(11, (w[84]["time"] - (at - 84 * DAY)) // (7 * DAY))
             assert row["activity_trend_90d"] == pytest.approx((week - 5.5).sum() / 143 if len(w[90]) >= 5 and len(w[84]) else 0)
     assert seen == len(got) > 40
+
+
+def test_slopes_are_plain_and_copy_no_event_to_its_snapshots(spark, data, monkeypatch):
+    df, ev, snaps = data
+    real, reached = X.Snapshots.covering, []
+    monkeypatch.setattr(X.Snapshots, "covering", lambda self, slot, back: reached.append(back) or real(self, slot, back))
+    stats = X.window_stats(X.daily(ev, snaps), mc_lookup(ev), snaps).checkpoint()
+    reached.clear()
+    got = {(r.cell_no, r.k): r.b_value_slope_1y for r in X.b_slopes(ev, stats, snaps).collect()}
+    assert not reached
+    cells = ev.select("event_id", "cell_no").toPandas().set_index("event_id").cell_no
+    rows = df.assign(cell_no=df["event_id"].map(cells), s=df["time"].map(lambda t: int(t.timestamp())))
+    mcs, want = {(r.cell_no, r.k): r.mc for r in stats.collect()}, {}
+    for k in range(snaps.count):
+        at = pd.Timestamp(snaps.start) + 7 * k * DAY
+        for cell, g in rows[(rows.time <= at) & (rows.time >= at - 365 * DAY)].groupby("cell_no"):
+            t0, t1, found = g.s.min(), g.s.max(), []
+            for w in range(4) if len(g) > 50 and t1 - t0 >= 180 * 86400 else ():
+                a, b = t0 + w * 7_776_000, t0 + (w + 1) * 7_776_000
+                sub = g[(g.s >= a) & (g.s <= b)]
+                up = sub[sub.magnitude >= mcs[cell, k]].magnitude
+                if b <= t1 and len(sub) >= 10 and len(up) >= 5:
+                    found.append((w * 90.0, np.log10(np.e) / (up.mean() - (mcs[cell, k] - 0.05))))
+            if len(found) >= 3:
+                want[cell, k] = np.polyfit(*zip(*found), 1)[0]
+    assert len(want) > 100 and set(got) == set(want)
+    assert all(got[x] == pytest.approx(v, abs=1e-9) for x, v in want.items())
+
+
+def test_copies_to_cells_around_are_summed_where_they_are_made(spark, data):
+    """No shuffle between the copying of a cell's week to the cells around it and the sums of these."""
+    _, ev, snaps = data
+    lines = X.short_term(ev, snaps)._jdf.queryExecution().executedPlan().toString().splitlines()
+    copies = [i for i, line in enumerate(lines) if "BroadcastHashJoin" in line and "cell_no" in line]
+    assert copies
+    for i in copies:
+        above = lines[:i][::-1]
+        sums = [n for n, line in enumerate(above) if "HashAggregate" in line or "SortAggregate" in line]
+        assert not [line for line in above[:sums[1]] if "Exchange" in line]
