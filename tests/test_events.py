@@ -1,3 +1,6 @@
+import math
+
+import numpy as np
 import pandas as pd
 import pytest
 
@@ -147,3 +150,33 @@ def test_decluster_of_one_crowded_bucket(spark, monkeypatch):
     main, cluster = sequential_decluster(df)
     assert got == {e: (main[e], cluster[e]) for e in main}
     assert shells[0][1] < 43_200
+
+
+def test_a_dense_catalog_spends_no_star_rounds(spark, monkeypatch):
+    """More links than buckets: one chain from the start, cut in time; the clusters are those of the sequential rule."""
+    calls = []
+    real = graph._small_star
+    monkeypatch.setattr(graph, "_small_star", lambda e: calls.append(1) or real(e))
+    df = swarm(500, seed=12, minutes=3_000, spread=6.0)
+    expect, _ = greedy_clusters(df, 600, 100.0, 0.5, True)
+    assert {r.event_id: r.seed for r in dedup.leader_clusters(frame(spark, df), chunk_rows=70).collect()} == expect
+    dense = swarm(500, seed=13, minutes=200, spread=3.0)
+    expect, _ = greedy_clusters(dense, 600, 100.0, 0.5, True)
+    calls.clear()
+    assert {r.event_id: r.seed for r in dedup.leader_clusters(frame(spark, dense), chunk_rows=70).collect()} == expect
+    assert not calls
+
+
+@pytest.mark.parametrize("lat,lon", [(0.0, 120.0), (70.0, 120.0), (-40.0, 180.0), (89.5, 0.0)])
+def test_a_row_meets_near_clusters_only(monkeypatch, lat, lon):
+    """Reports of one hour over a wide region: few distances a row, and the clusters of the sequential rule at any place."""
+    rng, n = np.random.default_rng(6), 1500
+    df = pd.DataFrame({"event_id": [f"e{i:04d}" for i in range(n)], "t": np.sort(rng.integers(0, 3600, n)) * 1_000_000, "lat": np.clip(lat + rng.uniform(-15, 15, n), -90, 90),
+                       "lon": (lon + rng.uniform(-20, 20, n) + 180) % 360 - 180, "mag": np.round(4 + rng.exponential(0.4, n), 1)})
+    plain = df.assign(time=pd.Timestamp("2000-01-01") + pd.to_timedelta(df.t, unit="us"), magnitude=df.mag, source="usgs")
+    expect, _ = greedy_clusters(plain, 600, 100.0, 0.5, True)
+    calls, real = [], math.atan2
+    monkeypatch.setattr(math, "atan2", lambda a, b: calls.append(1) or real(a, b))
+    out = dedup._fold(600, 100.0, 0.5, True)(df.assign(nm=-df.mag, score=2, unit="0", part=0), pd.DataFrame(columns=dedup._STATE_NAMES))
+    assert dict(out[out.kind == "m"][["event_id", "seed"]].to_numpy().tolist()) == expect
+    assert 0 < len(calls) < (10 if (lat, lon) == (0.0, 120.0) else 60) * n

@@ -94,43 +94,78 @@ _STATE_NAMES = [c.split()[0] for c in _STATE.split(", ")]
 _ROW = ["t", "lat", "lon", "mag"]
 
 
-def _same_place(lat, lon, row, km: float):
-    """Vectorised distance test against the open clusters of one unit."""
+def _reach(values, margin: float):
+    """First and last lattice line, two margins apart, that each value reaches."""
     import numpy as np
-    a = np.radians(lat)
-    b = np.radians(row.lat)
-    h = np.sin((b - a) / 2) ** 2 + np.cos(a) * np.cos(b) * np.sin(np.radians(row.lon - lon) / 2) ** 2
-    return 2 * K.EARTH_RADIUS_KM * np.arctan2(np.sqrt(h), np.sqrt(1 - h)) <= km
+    return np.floor((values - margin) / (2 * margin)).tolist(), np.floor((values + margin) / (2 * margin)).tolist()
 
 
 def _fold(seconds: int, km: float, mag_window: float | None, by_score: bool) -> Callable:
-    """Assign the rows of one bounded unit, starting from the clusters still open."""
+    """Assign the rows of one bounded unit, starting from the clusters still open.
+
+    Open clusters stand in the fields of a lattice around their representative, so that a row
+    looks at those near it and not at all that are open anywhere.
+    """
     def run(rows: pd.DataFrame, state: pd.DataFrame) -> pd.DataFrame:
+        import math
+
         import numpy as np
         limit, deg = seconds * 1_000_000, km / 111.0 + 0.01
-        live = [list(r) for r in state.sort_values(["order_t", "order_m", "seed"])[_STATE_NAMES].itertuples(index=False)]
-        done, members = [], []
-        for row in rows.sort_values(["t", "nm", "event_id"]).itertuples(index=False):
-            closed = [c for c in live if row.t - c[3] > limit]
-            if closed:
-                done += closed
-                live = [c for c in live if row.t - c[3] <= limit]
-            hit = None
-            near = [c for c in live if abs(c[4] - row.lat) <= deg and (mag_window is None or abs(c[6] - row.mag) <= mag_window)]
-            if near:
-                where = np.flatnonzero(_same_place(np.array([c[4] for c in near]), np.array([c[5] for c in near]), row, km))
-                hit = near[where[0]] if len(where) else None
-            if hit is None:
-                hit = [row.event_id, row.t, row.nm, row.t, row.lat, row.lon, row.mag, row.score, row.event_id]
-                live.append(hit)
-            elif row.mag > hit[6] or (by_score and row.mag == hit[6] and row.score > hit[7]):
-                hit[3:] = [row.t, row.lat, row.lon, row.mag, row.score, row.event_id]
-            members.append((row.event_id, hit[0], row.t, row.mag, row.score))
         unit, part = rows["unit"].iloc[0], int(rows["part"].iloc[0])
-        out = [("m", unit, part, e, s, t, 0.0, t, 0.0, 0.0, m, sc, "") for e, s, t, m, sc in members]
-        # clusters that may still meet a row of the next stretch
-        out += [("s", unit, part, "", *c) for c in live]
-        return pd.DataFrame(out, columns=["kind", "unit", "part", "event_id", *_STATE_NAMES])
+        rows, state = rows.sort_values(["t", "nm", "event_id"]), state.sort_values(["order_t", "order_m", "seed"])
+        both = [np.concatenate([rows[c].to_numpy(float), state[c].to_numpy(float)]) for c in ("lat", "lon")]
+        widest = np.nanmax(np.abs(both[0]), initial=0.0) + deg
+        lon_deg = math.degrees(math.asin(min(1.0, math.sin(math.radians(deg)) / max(math.cos(math.radians(min(widest, 90.0))), 1e-9)))) + 0.01
+        if not np.nanmax(np.abs(both[1]), initial=0.0) + 2 * lon_deg < 180 or widest >= 90:
+            lon_deg = 1e9  # near the date line or a pole: bands of latitude only
+        a0, a1 = _reach(both[0], deg)
+        b0, b1 = _reach(both[1], lon_deg)
+        home = [*zip(np.floor(both[0] / (2 * deg)).tolist(), np.floor(both[1] / (2 * lon_deg)).tolist())]
+        n, fields, live, members = len(rows), {}, [], []
+
+        def near(c, row_lat, row_lon):
+            x, y = math.radians(c[4]), math.radians(row_lat)
+            h = math.sin((y - x) / 2) ** 2 + math.cos(x) * math.cos(y) * math.sin(math.radians(row_lon - c[5]) / 2) ** 2
+            return 2 * K.EARTH_RADIUS_KM * math.atan2(math.sqrt(h), math.sqrt(max(0.0, 1 - h))) <= km
+
+        def opened(c, at):  # order of creation and field follow the nine columns of the state
+            c += [len(live), at]
+            live.append(c)
+            fields.setdefault(at, []).append(c)
+
+        for i, c in enumerate(state[_STATE_NAMES].itertuples(index=False)):
+            opened(list(c), home[n + i])
+        columns = [rows[c].tolist() for c in ("event_id", "t", "nm", "lat", "lon", "mag", "score")]
+        for i, (event_id, t, nm, lat, lon, mag, score) in enumerate(zip(*columns)):
+            hit, since = None, t - limit
+            for a in (a0[i],) if a0[i] == a1[i] else (a0[i], a1[i]):
+                for b in (b0[i],) if b0[i] == b1[i] else (b0[i], b1[i]):
+                    field = fields.get((a, b))
+                    if not field:
+                        continue
+                    if any(c[3] < since for c in field):
+                        field[:] = [c for c in field if c[3] >= since]
+                    for c in field:
+                        if (hit is None or c[9] < hit[9]) and abs(c[4] - lat) <= deg and (mag_window is None or abs(c[6] - mag) <= mag_window) and near(c, lat, lon):
+                            hit = c
+            if hit is None:
+                hit = [event_id, t, nm, t, lat, lon, mag, score, event_id]
+                opened(hit, home[i])
+            elif mag > hit[6] or (by_score and mag == hit[6] and score > hit[7]):
+                hit[3:9] = [t, lat, lon, mag, score, event_id]
+                if hit[10] != home[i]:
+                    fields[hit[10]] = [c for c in fields[hit[10]] if c is not hit]
+                    fields.setdefault(home[i], []).append(hit)
+                    hit[10] = home[i]
+            members.append(hit[0])
+        end = columns[1][-1] - limit
+        kept = [c[:9] for c in live if c[3] >= end]  # clusters that may still meet a row of the next stretch
+        found = pd.DataFrame({"kind": "m", "unit": unit, "part": part, "event_id": columns[0], "seed": members, "order_t": columns[1], "order_m": 0.0, "t": columns[1],
+                              "lat": 0.0, "lon": 0.0, "mag": columns[5], "score": columns[6], "rep": ""})
+        if not kept:
+            return found
+        handed = pd.DataFrame(kept, columns=_STATE_NAMES).assign(kind="s", unit=unit, part=part, event_id="")
+        return pd.concat([found, handed[list(found.columns)]], ignore_index=True)
     return run
 
 
@@ -140,7 +175,9 @@ def _units(singles: DataFrame, seconds: int, km: float, unit_rows: int) -> DataF
     Each row stands in the space-time buckets that a box of half the limits around it
     touches; two rows within the limits share a bucket. Buckets of one row are connected,
     and no row of one component can ever meet a row of another. Components that a few
-    rounds don't tell apart are long chains, as in a dense catalog, and count as one.
+    rounds don't tell apart are long chains, as in a dense catalog, and count as one. With
+    as many links as buckets most are in one chain, so no rounds are spent; nor are they on
+    a crowd that fits one unit.
     Small components share units by hash; one beyond ``unit_rows`` is cut into stretches
     of that many rows in time order.
     """
@@ -154,10 +191,14 @@ def _units(singles: DataFrame, seconds: int, km: float, unit_rows: int) -> DataF
     busy = spread.groupBy("a", "b", "c").agg(F.count("*").alias("n")).where("n > 1").drop("n")
     stands = spread.join(busy, ["a", "b", "c"], "left_semi").select("event_id", F.struct("a", "b", "c").alias("bucket")).checkpoint()
     home = stands.groupBy("event_id").agg(F.min("bucket").alias("home"))
-    edges = stands.join(home, "event_id").select(F.col("bucket").alias("u"), F.col("home").alias("v"))
-    tops = components(edges, _STAR_ROUNDS)
-    placed = home.join(tops.withColumnRenamed("node", "home"), "home", "left").select(
-        "event_id", F.coalesce("root", "home").alias("comp"))
+    edges = stands.join(home, "event_id").select(F.col("bucket").alias("u"), F.col("home").alias("v")).where("u != v").distinct().checkpoint()
+    if home.count() <= unit_rows or edges.count() >= stands.select("bucket").distinct().count():
+        one = F.broadcast(home.agg(F.min("home").alias("comp")))  # one row
+        placed = home.select("event_id").crossJoin(one)
+    else:
+        tops = components(edges, _STAR_ROUNDS)
+        placed = home.join(tops.withColumnRenamed("node", "home"), "home", "left").select(
+            "event_id", F.coalesce("root", "home").alias("comp"))
     crowd = singles.join(placed, "event_id").checkpoint()
     sizes = crowd.groupBy("comp").agg(F.count("*").alias("n")).where(F.col("n") > unit_rows)
     whole = crowd.join(sizes, "comp", "left_anti")
